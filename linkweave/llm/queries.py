@@ -28,6 +28,16 @@ def p3_forms(spark, d):
     return label_forms(_t(spark, d, "path_values"))
 
 
+def p4_repairs(spark, d):
+    from linkweave.llm.charsets import garbled_values
+
+    return garbled_values(_t(spark, d, "input_values"))
+
+
+def p4_found(spark, d):
+    return p4_repairs(spark, d).select("value_id").distinct()
+
+
 def p6_found(spark, d):
     from linkweave.llm.topk import best_links
 
@@ -66,7 +76,7 @@ def p9_pieces(spark, d):
     return split_documents(_t(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p3_found, p3_forms, p6_found, p7_found, p8_found, p8_report, p8_repeats, p9_found, p9_pieces)}
+QUERIES = {f.__name__: f for f in (p2_found, p3_found, p3_forms, p4_found, p4_repairs, p6_found, p7_found, p8_found, p8_report, p8_repeats, p9_found, p9_pieces)}
 
 
 def _sql() -> dict[str, str]:
