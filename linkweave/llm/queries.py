@@ -9,6 +9,16 @@ def _t(spark, d, name):
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def p1_matches(spark, d):
+    from linkweave.llm.entities import match_entities
+
+    return match_entities(_t(spark, d, "path_values"))
+
+
+def p1_found(spark, d):
+    return p1_matches(spark, d).select("uri_a", "uri_b")
+
+
 def p2_found(spark, d):
     from linkweave.llm.components import connected_components, sameas_edges
 
@@ -76,7 +86,7 @@ def p9_pieces(spark, d):
     return split_documents(_t(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p3_found, p3_forms, p4_found, p4_repairs, p6_found, p7_found, p8_found, p8_report, p8_repeats, p9_found, p9_pieces)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_matches, p2_found, p3_found, p3_forms, p4_found, p4_repairs, p6_found, p7_found, p8_found, p8_report, p8_repeats, p9_found, p9_pieces)}
 
 
 def _sql() -> dict[str, str]:
