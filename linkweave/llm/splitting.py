@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkweave.llm.tokens import VOCABULARY, encode, encoder
+from linkweave.llm.tokens import VOCABULARY, encode, token_lengths
 
 LIMIT, OVERLAP = 4096, 200
 #: Tokens kept free in each piece, as encoding a piece alone can take a few more than its share of the whole text.
@@ -27,12 +27,13 @@ ATOM_TOKENS = 64
 def _atoms(data: bytes, begins: np.ndarray, room: int) -> tuple[list[int], list[int]]:
     """Byte offset of each atom, and the strength of the boundary before it. begins: the tokens' byte offsets."""
     at, strength, blank, p = [], [], True, 0
-    for line in data.splitlines(keepends=True) if data else []:
+    lines = data.splitlines(keepends=True)
+    ends = np.searchsorted(begins, np.cumsum([0, *map(len, lines)])).tolist()
+    for a, b, line in zip(ends[:-1], ends[1:], lines, strict=True):
         cell = CELL_MARK.match(line) is not None
         at.append(p)
         strength.append(CELL if cell else PARAGRAPH if blank else LINE)
         blank = not line.strip()
-        a, b = np.searchsorted(begins, [p, p + len(line)])
         if b - a > room:
             # a long line: at spaces where there are any, else between tokens
             last = p
@@ -89,8 +90,7 @@ def split_text(text: str, limit: int = LIMIT, overlap: int = OVERLAP, vocabulary
     if len(ids) <= limit:
         return len(ids), [(text, len(ids), 0)]
     data = text.encode("utf-8", "surrogatepass")
-    one = encoder(vocabulary)
-    begins = np.concatenate([[0], np.cumsum([len(one.decode_single_token_bytes(t)) for t in ids])[:-1]]).astype(np.int64)
+    begins = np.concatenate([[0], np.cumsum(token_lengths(vocabulary)[ids])[:-1]])
     slack = SLACK
     while True:
         first_room, room = limit - slack, limit - overlap - slack

@@ -6,6 +6,8 @@ import base64
 import re
 from functools import lru_cache
 
+import numpy as np
+
 #: Where the vocabulary lies on driver and executors, unless a query is given another path.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
@@ -15,7 +17,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: Runs longer than this without a break in character class are encoded in chunks, since the encoder takes a time that
 #: grows faster than the run. Counts can then differ by a token per chunk.
 LONG_RUN = 100_000
-_RUN = re.compile(r"\S{%d,}|\s{%d,}" % (LONG_RUN, LONG_RUN))
+_RUN = re.compile(r"\S+|\s+")
 
 
 @lru_cache(maxsize=2)
@@ -27,9 +29,19 @@ def encoder(path: str = VOCABULARY):
     return tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+@lru_cache(maxsize=2)
+def token_lengths(path: str = VOCABULARY) -> np.ndarray:
+    """Bytes of each token, by id."""
+    tokens = encoder(path)._mergeable_ranks
+    out = np.zeros(max(tokens.values()) + 1, np.int64)
+    for t, k in tokens.items():
+        out[k] = len(t)
+    return out
+
+
 def encode(text: str, path: str = VOCABULARY) -> list[int]:
     """Token ids of the whole text; '' has none."""
     enc = encoder(path)
-    if not text or (len(text) >= LONG_RUN and _RUN.search(text)):
+    if len(text) >= LONG_RUN and any(m.end() - m.start() >= LONG_RUN for m in _RUN.finditer(text)):
         return [t for k in range(0, len(text), LONG_RUN) for t in enc.encode_ordinary(text[k : k + LONG_RUN])]
     return enc.encode_ordinary(text)
