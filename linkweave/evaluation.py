@@ -36,12 +36,14 @@ def quality(counts: DataFrame) -> DataFrame:
 def graded_score(scored: DataFrame, threshold: float = 0.9) -> DataFrame:
     """One row, score: the harmonic mean of the positive and the negative pairs' scores, each 1 minus the mean error.
 
-    The error of a wrongly placed pair is ``threshold - confidence / threshold`` for positives and ``confidence`` for negatives,
-    in which the division binds first, as the measure is defined. Null where either class is missing.
+    The error of a wrongly placed pair is the square of ``threshold - confidence / threshold`` for positives (the division binds
+    first, as the measure is defined) and of ``(confidence - threshold) / (1 - threshold)`` for negatives. Null where either
+    class is missing or both scores cancel out; a null or NaN confidence counts as -1.
     """
-    c = F.coalesce("confidence", F.lit(-1.0))
-    bad_positive = F.when(F.col("label") & (c < threshold), F.lit(threshold) - c / F.lit(threshold)).otherwise(0.0)
-    bad_negative = F.when(~F.col("label") & (c >= threshold), c).otherwise(0.0)
+    c = F.coalesce(F.nanvl("confidence", F.lit(-1.0)), F.lit(-1.0))
+    below, above = F.lit(threshold) - c / F.lit(threshold), (c - F.lit(threshold)) / F.lit(1.0 - threshold if threshold < 1 else float("nan"))
+    bad_positive = F.when(F.col("label") & (c < threshold), below * below).otherwise(0.0)
+    bad_negative = F.when(~F.col("label") & (c >= threshold), above * above).otherwise(0.0)
     n = scored.agg(F.count_if("label").alias("np"), F.count_if(~F.col("label")).alias("nn"), F.sum(bad_positive).alias("ep"), F.sum(bad_negative).alias("en"))
     p = 1.0 - F.try_divide("ep", F.col("np").cast("double"))
     q = 1.0 - F.try_divide("en", F.col("nn").cast("double"))

@@ -33,6 +33,9 @@ def regex_replace(regex: str, replace: str):
 def concat(glue: str = ""):
     """Every combination of a value of each input, joined by glue; nothing if an input has nothing."""
 
+    def crossed(left: Column, right: Column) -> Column:
+        return F.flatten(F.transform(left, lambda a: F.transform(right, lambda b: F.concat(a, F.lit(glue), b))))
+
     def run(inputs: list[Values]) -> Values:
         if not any(i.many for i in inputs):
             out = inputs[0].col
@@ -41,8 +44,7 @@ def concat(glue: str = ""):
             return Values(out, False)
         out = inputs[0].as_array()
         for i in inputs[1:]:
-            right = i.as_array()
-            out = F.flatten(F.transform(out, lambda a, right=right: F.transform(right, lambda b: F.concat(a, F.lit(glue), b))))
+            out = crossed(out, i.as_array())
         return Values(F.array_distinct(out))
 
     return run

@@ -232,6 +232,10 @@ class QGrams(Metric):
         return self.grams, self.grams
 
 
+def _itself(s: Column) -> Column:
+    return F.when(s.isNull(), F.array().cast("array<string>")).otherwise(F.array(s))
+
+
 class Equality(Metric):
     rank = 0
 
@@ -239,7 +243,7 @@ class Equality(Metric):
         return F.when(x == y, F.lit(0.0)).otherwise(F.lit(1.0))
 
     def keys(self, radius, limit):
-        return (F.array, F.array) if radius < 1 else None
+        return (_itself, _itself) if radius < 1 else None
 
 
 class Inequality(Metric):
@@ -392,7 +396,7 @@ class _Sets(Metric):
         return self.of_sets(F.size(F.array_intersect(x, y)), F.size(x), F.size(y))
 
     def keys(self, radius, limit):
-        return (F.array, F.array) if radius < 1 else None
+        return (_itself, _itself) if radius < 1 else None
 
 
 class Jaccard(_Sets):

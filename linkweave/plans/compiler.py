@@ -131,7 +131,8 @@ class Compiler:
             each = [self._keys(c, m, x) for c, x in zip(node.children, limits, strict=True)]
             if not each or any(e is None for e in each):
                 return None
-            named = lambda side: F.flatten(F.array(*[F.transform(e[side], lambda v, k=k: F.concat(F.lit(f"{k}|"), v)) for k, e in enumerate(each)]))
+            prefixed = lambda k, keys: F.transform(keys, lambda v: F.concat(F.lit(f"{k}|"), v))
+            named = lambda side: F.flatten(F.array(*[prefixed(k, e[side]) for k, e in enumerate(each)]))
             return (max(e[0] for e in each), named(1), named(2))
         bounds = agg.child_bounds(m, [c.weight for c in node.children])
         each = [e for c, b, x in zip(node.children, bounds, limits, strict=True) if b is not None and (e := self._keys(c, b, x)) is not None]

@@ -130,6 +130,16 @@ class Or:
 _TRIPLE = re.compile(r"\s*\?(\w+)\s+(<[^>]*>|\S+)\s+(<[^>]*>|\"(?:[^\"\\]|\\.)*\"(?:@\w+|\^\^\S+)?|'[^']*'|\?\w+|[^\s{}]+?)\s*(?:\.(?=\s|$|\})|;|$)")
 
 
+def _closes(text: str) -> int:
+    """Where the brace that begins the text is closed."""
+    depth = 0
+    for k, c in enumerate(text):
+        depth += (c == "{") - (c == "}")
+        if not depth:
+            return k
+    raise ValueError(f"a brace isn't closed in {text!r}")
+
+
 def parse_restriction(text: str, prefixes: dict[str, str]):
     """A tree of Condition, And and Or of triple patterns, joined by '.' or UNION; None for an empty text."""
     text = text.strip()
@@ -137,6 +147,8 @@ def parse_restriction(text: str, prefixes: dict[str, str]):
         text = text[:-1].rstrip()
     if not text:
         return None
+    while text.startswith("{") and _closes(text) == len(text) - 1:
+        text = text[1:-1].strip().removesuffix(".").rstrip()
     groups = re.findall(r"\{([^{}]*)\}", text)
     if groups:
         rest = re.sub(r"\{[^{}]*\}", " ", text).split()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("skew",)
+MODULES = ("skew", "scalars", "links")
 
 
 def _all(name: str) -> dict:
