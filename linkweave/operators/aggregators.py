@@ -36,10 +36,15 @@ class Average(Aggregator):
     def evaluate(self, weighted):
         if not weighted:
             return F.lit(None).cast("double")
-        factor = [F.when(c > 0, F.lit(float(w * self.positive))).when(c < 0, F.lit(float(w * self.negative))).otherwise(F.lit(0.0)) for w, c in weighted]
-        total = _sum(factor)
-        above = _sum([f * c for f, (_, c) in zip(factor, weighted, strict=True)])
-        return F.when(total == 0, F.lit(NAN)).otherwise(above / F.when(total == 0, F.lit(1.0)).otherwise(total))
+        # a fold, so that each child is computed once
+        children = F.array(*[F.struct(F.lit(float(w)).alias("w"), c.cast("double").alias("c")) for w, c in weighted])
+
+        def add(sums, x):
+            factor = x["w"] * F.when(x["c"] > 0, float(self.positive)).when(x["c"] < 0, float(self.negative)).otherwise(0.0)
+            return F.struct((sums["above"] + F.when(factor != 0, factor * x["c"]).otherwise(0.0)).alias("above"), (sums["total"] + factor).alias("total"))
+
+        start = F.struct(F.lit(0.0).alias("above"), F.lit(0.0).alias("total"))
+        return F.aggregate(children, start, add, lambda sums: F.coalesce(F.try_divide(sums["above"], sums["total"]), F.lit(NAN)))
 
     def child_limit(self, limit, weight):
         return 1.0 - (1.0 - limit) / weight + self.positive / self.negative
@@ -71,7 +76,7 @@ class QuadraticMean(Aggregator):
     def evaluate(self, weighted):
         if not weighted:
             return F.lit(None).cast("double")
-        return F.sqrt(_sum([F.lit(float(w)) * c * c for w, c in weighted]) / F.lit(float(sum(w for w, _ in weighted))))
+        return F.sqrt(_sum([F.lit(float(w)) * F.pow(c, F.lit(2.0)) for w, c in weighted]) / F.lit(float(sum(w for w, _ in weighted))))
 
 
 class GeometricMean(Aggregator):

@@ -26,8 +26,18 @@ class Metric:
     #: How selective the keys are, for choosing among several; less is better.
     rank = 9
 
+    def prepare(self, s: Column) -> Column:
+        """What the measure needs of a text; it is made once per entity, not per pair."""
+        return s
+
+    def prepared(self, v: Values) -> Values:
+        if v.prepared or type(self).prepare is Metric.prepare:
+            return v
+        return Values(F.transform(v.as_array(), self.prepare), True, True) if v.many else Values(self.prepare(v.col), False, True)
+
     def distance(self, a: Values, b: Values, limit: float, worst: float) -> Column:
         """The smallest distance of any two values. From ``worst`` on, the caller doesn't care how far."""
+        a, b = self.prepared(a), self.prepared(b)
         if not a.many and not b.many:
             return self.of(a.col, b.col, limit, worst)
         right = b.as_array()
@@ -112,12 +122,12 @@ class Levenshtein(Metric):
 
     def of(self, x, y, limit, worst):
         gate = F.abs(F.length(x) - F.length(y)) >= limit
-        if math.isfinite(worst):
-            near = F.levenshtein(x, y, max(0, math.ceil(worst)))
-            d = F.when(near < 0, F.lit(INF)).otherwise(near.cast("double"))
+        if math.isfinite(worst) and worst < 2**30:
+            # -1, for more than the bound, becomes a number that is far beyond it
+            d = F.levenshtein(x, y, max(0, math.ceil(worst))).bitwiseAND(F.lit(2**31 - 1))
         else:
-            d = F.levenshtein(x, y).cast("double")
-        return F.when(gate, F.lit(INF)).otherwise(d)
+            d = F.levenshtein(x, y)
+        return F.when(gate, F.lit(INF)).otherwise(d.cast("double"))
 
     def keys(self, radius, limit):
         tau = math.floor(radius)
@@ -212,6 +222,9 @@ class QGrams(Metric):
     def __init__(self, q: int):
         self.q = q
 
+    def prepare(self, s):
+        return self.grams(s)
+
     def grams(self, s: Column) -> Column:
         pad = "#" * (self.q - 1)
         t = F.concat(F.lit(pad), s, F.lit(pad))
@@ -220,7 +233,7 @@ class QGrams(Metric):
 
     def of(self, x, y, limit, worst):
         # of each gram, the smaller of its two counts
-        a, b = self.grams(x), self.grams(y)
+        a, b = x, y
         count = lambda grams, g: F.size(F.filter(grams, lambda h: h == g))
         shared = F.aggregate(F.array_intersect(a, b), F.lit(0), lambda n, g: n + F.least(count(a, g), count(b, g)))
         n = F.size(a) + F.size(b)
@@ -260,11 +273,14 @@ class _Number(Metric):
     def number(self, s: Column) -> Column:
         raise NotImplementedError
 
+    def prepare(self, s):
+        return self.number(s)
+
     def of(self, x, y, limit, worst):
-        gap = F.abs(self.number(x) - self.number(y))
+        gap = F.abs(x - y)
         size = self.size(limit)
-        d = gap if size is None else (gap / F.lit(size) if size > 0 else F.when(gap == 0, F.lit(float("nan"))).otherwise(F.lit(INF)))
-        return F.when(gap.isNull(), F.lit(INF)).otherwise(d.cast("double"))
+        d = gap if size is None else (gap / F.lit(size) if size > 0 else F.when(gap.isNull() | (gap > 0), F.lit(INF)).otherwise(F.lit(float("nan"))))
+        return F.coalesce(d.cast("double"), F.lit(INF))
 
     def size(self, limit: float) -> float | None:
         """What a difference is divided by; None for nothing."""
@@ -345,10 +361,13 @@ class Wgs84(Metric):
         lat, lon = F.when(swap, b).otherwise(a), F.when(swap, a).otherwise(b)
         return F.when(lon.isNotNull(), lat), F.when(lat.isNotNull(), lon)
 
+    def prepare(self, s):
+        lat, lon = self.point(s)
+        return F.struct(F.radians(lat).alias("lat"), F.radians(lon).alias("lon"))
+
     def of(self, x, y, limit, worst):
-        (la, oa), (lb, ob) = self.point(x), self.point(y)
-        la, lb = F.radians(la), F.radians(lb)
-        cos = F.sin(la) * F.sin(lb) + F.cos(la) * F.cos(lb) * F.cos(F.radians(oa - ob))
+        la, oa, lb, ob = x["lat"], x["lon"], y["lat"], y["lon"]
+        cos = F.sin(la) * F.sin(lb) + F.cos(la) * F.cos(lb) * F.cos(oa - ob)
         # rounding can push equal points out of the cosine's range
         d = F.degrees(F.acos(F.least(F.greatest(cos, F.lit(-1.0)), F.lit(1.0)))) * F.lit(KM_PER_DEGREE * self.unit / self.scale)
         return F.coalesce(d, F.lit(INF))
@@ -363,25 +382,31 @@ class Wgs84(Metric):
         def cells(band: Column) -> Column:
             """Cells around the band: as wide as the radius reaches at the band's highest latitude."""
             top = F.least(F.greatest(F.abs(band * h - 90), F.abs((band + 1) * h - 90)), F.lit(90.0))
-            reach = F.sin(F.radians(F.lit(h)))
-            cos = F.cos(F.radians(top))
-            n = F.floor(F.lit(360.0) / F.degrees(F.asin(F.least(reach / F.greatest(cos, F.lit(1e-12)), F.lit(1.0)))))
-            return F.when((cos <= reach) | (n < 3), F.lit(1)).otherwise(n).cast("int")
+            reach = math.sin(math.radians(h))
+            # 0 where the radius reaches around the pole; the quotient is above 1 there
+            part = F.degrees(F.asin(F.least(F.lit(reach) / F.greatest(F.cos(F.radians(top)), F.lit(1e-12)), F.lit(1.0))))
+            return F.floor(F.lit(360.0) / part).cast("int")
 
         def cell(lon: Column, n: Column) -> Column:
-            turn = F.pmod(lon + 180, F.lit(360.0)) / 360
-            return F.least(F.floor(turn * n), n - 1).cast("int")
+            return F.least(F.floor(F.pmod(lon + 180, F.lit(360.0)) / 360 * n), n - 1).cast("int")
 
-        def target(s: Column) -> Column:
+        def around(s: Column, steps: tuple[int, ...]) -> Column:
+            """Cells of the point's band and those beside it; every part is computed once, as the variable of a fold."""
             lat, lon = self.point(s)
-            band = F.floor((lat + 90) / h)
-            return F.when(lat.isNull(), none).otherwise(F.array(_text(band, cell(lon, cells(band)))))
+            point = F.struct(F.floor((lat + 90) / h).cast("int").alias("band"), lon.alias("lon"))
+            offsets = F.array(*[F.lit(k) for k in steps])
+            # fewer than five cells count as one, also at the poles
+            whole = lambda n: F.when(n < 5, 1).otherwise(n)
+            of_band = lambda p: F.transform(offsets, lambda i: F.struct((p["band"] + i).alias("band"), whole(cells(p["band"] + i)).alias("n"), p["lon"].alias("lon")))
+            of_cell = lambda q: F.transform(offsets, lambda j: _text(q["band"], F.pmod(cell(q["lon"], q["n"]) + j, q["n"])))
+            found = F.flatten(F.transform(F.flatten(F.transform(F.array(point), of_band)), of_cell))
+            return F.when(lat.isNull(), none).otherwise(F.array_distinct(found))
+
+        def target(s: Column) -> Column:
+            return around(s, (0,))
 
         def source(s: Column) -> Column:
-            lat, lon = self.point(s)
-            band = F.floor((lat + 90) / h)
-            around = [_text(band + i, F.pmod(cell(lon, cells(band + i)) + j, cells(band + i))) for i in (-1, 0, 1) for j in (-1, 0, 1)]
-            return F.when(lat.isNull(), none).otherwise(F.array_distinct(F.array(*around)))
+            return around(s, (-1, 0, 1))
 
         return source, target
 

@@ -5,10 +5,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linkweave.plans.rules import Aggregate, Compare, LinkRule, Operator, PathInput, TransformInput, variable_of
+from linkweave.plans.rules import Aggregate, Compare, Input, LinkRule, Operator, PathInput, TransformInput, variable_of
 from linkweave.registry import lookup
 from linkweave.values import Values
 
@@ -26,9 +26,50 @@ class Entity:
 class Compiler:
     def __init__(self, rule: LinkRule, source: Entity, target: Entity):
         self.rule, self.sides = rule, (source, target)
+        self.ready: list[tuple[Input, str | None, Values]] = []
+        self.columns: tuple[dict[str, Column], dict[str, Column]] = ({}, {})
+        if rule.condition is not None:
+            self._make_ready(rule.condition)
+
+    def _make_ready(self, node: Operator) -> None:
+        """Inputs of one entity become columns of its side, before any pair is made, and so does what a measure makes of them."""
+        if isinstance(node, Aggregate):
+            for c in node.children:
+                self._make_ready(c)
+            return
+        metric = lookup("metric", node.metric)(**node.params)
+        for i in (node.source, node.target):
+            side = next((k for k, s in enumerate(self.sides) if variables_of(i) == {s.variable}), None)
+            if side is None:
+                continue
+            raw = self._known(i, None)
+            if raw is None:
+                raw = self.input(i)
+                if isinstance(i, TransformInput):
+                    raw = self._column(side, raw)
+                    self.ready.append((i, None, raw))
+            made = metric.prepared(raw)
+            if made.prepared and self._known(i, node.metric) is None:
+                self.ready.append((i, node.metric, self._column(side, made)))
+
+    def _column(self, side: int, v: Values) -> Values:
+        name = f"{'st'[side]}_i{len(self.columns[side])}"
+        self.columns[side][name] = v.col
+        return Values(F.col(name), v.many, v.prepared)
+
+    def _known(self, node: Input, metric: str | None) -> Values | None:
+        return next((v for n, m, v in self.ready if m == metric and n == node), None)
+
+    def with_inputs(self, df: DataFrame, side: int) -> DataFrame:
+        """A side's entities with the columns of its inputs, in the order in which they build on each other."""
+        for name, col in self.columns[side].items():
+            df = df.withColumn(name, col)
+        return df
 
     def input(self, node: PathInput | TransformInput) -> Values:
         """The values of an input. A path of an unknown variable has none."""
+        if (known := self._known(node, None)) is not None:
+            return known
         if isinstance(node, PathInput):
             for side in self.sides:
                 if variable_of(node.path) == side.variable:
@@ -42,18 +83,22 @@ class Compiler:
         threshold = self.rule.threshold_of(c)
         # confidences end at -1, which a distance of twice the threshold gives
         worst = 2 * threshold if threshold > 0 else 0.0
-        return lookup("metric", c.metric)(**c.params).distance(self.input(c.source), self.input(c.target), threshold * (1.0 - limit), worst)
+        a, b = (self._known(i, c.metric) or self.input(i) for i in (c.source, c.target))
+        return lookup("metric", c.metric)(**c.params).distance(a, b, threshold * (1.0 - limit), worst)
 
     def compare(self, c: Compare, limit: float) -> Column:
         """The confidence of a comparison, null where a side has no values; at threshold 0, NaN for equal and -1 for others."""
         threshold = self.rule.threshold_of(c)
         d = self.distance(c, limit)
-        if threshold > 0:
-            conf = F.greatest(1.0 - d / F.lit(threshold), F.lit(-1.0))
-        else:
-            conf = F.when(d == 0, F.lit(NAN)).otherwise(F.lit(-1.0))
-        conf = F.when(F.isnan(d), F.lit(NAN)).otherwise(conf)
-        return F.when(self.input(c.source).present() & self.input(c.target).present(), conf)
+        # the distance stands once in each, as every further use would compute it again; NaN is above all numbers
+        conf = F.greatest(1.0 - d / F.lit(threshold), F.lit(-1.0)) if threshold > 0 else F.when((d > 0) & ~F.isnan(d), F.lit(-1.0)).otherwise(F.lit(NAN))
+        return F.when(self.present(c), conf)
+
+    def present(self, node: Operator) -> Column:
+        """Whether a node's confidence can be computed: both inputs have values, all required children can be computed."""
+        if isinstance(node, Compare):
+            return self.input(node.source).present() & self.input(node.target).present()
+        return reduce(lambda a, b: a & b, [self.present(c) for c in node.children if c.required], F.lit(bool(node.children)))
 
     def operator(self, node: Operator, limit: float = 0.0, missing: float = -1.0) -> Column:
         """The confidence of a node; null where it can't be computed. missing stands for children without one."""
@@ -63,8 +108,7 @@ class Compiler:
         total = sum(c.weight for c in node.children)
         children = [self.operator(c, agg.child_limit(limit, c.weight / total), missing) for c in node.children]
         out = agg.evaluate([(c.weight, F.coalesce(x, F.lit(missing))) for c, x in zip(node.children, children, strict=True)])
-        needed = [x.isNotNull() for c, x in zip(node.children, children, strict=True) if c.required]
-        return F.when(reduce(lambda a, b: a & b, needed), out) if needed else out
+        return F.when(self.present(node), out) if any(c.required for c in node.children) else out
 
     def confidence(self, missing: float = -1.0) -> Column:
         """The confidence of the rule; what can't be computed gives ``missing``: -1, or 0 in the detailed evaluation."""
@@ -159,7 +203,8 @@ def flipped(rule: LinkRule, node: Operator) -> bool:
     if isinstance(node, Aggregate):
         return any(flipped(rule, c) for c in node.children)
 
-    def variables(n) -> set[str]:
-        return {variable_of(n.path)} if isinstance(n, PathInput) else set().union(*[variables(i) for i in n.inputs])
+    return not (variables_of(node.source) <= {rule.source.variable} and variables_of(node.target) <= {rule.target.variable})
+
 
-    return not (variables(node.source) <= {rule.source.variable} and variables(node.target) <= {rule.target.variable})
+def variables_of(node: Input) -> set[str]:
+    return {variable_of(node.path)} if isinstance(node, PathInput) else set().union(*[variables_of(i) for i in node.inputs])

@@ -45,8 +45,9 @@ class LinkJob:
         self.rule = rule
         source = self._plain(source, rule.source.variable)
         target = self._plain(target, rule.target.variable)
-        self.source, self.target = self._renamed(source, "s"), self._renamed(target, "t")
         self.compiler = Compiler(rule, self._entity(source, rule.source.variable, "s"), self._entity(target, rule.target.variable, "t"))
+        self.source = self.compiler.with_inputs(self._renamed(source, "s"), 0)
+        self.target = self.compiler.with_inputs(self._renamed(target, "t"), 1)
 
     def _plain(self, e: Entities, variable: str) -> Entities:
         """Only the columns that the rule uses."""
@@ -91,7 +92,7 @@ class LinkJob:
         pairs = self.candidates()
         if self_join:
             pairs = pairs.where(F.col("s_uri") < F.col("t_uri"))
-        scored = self._scored(pairs).where((F.col("confidence") >= least) & ~F.isnan("confidence"))
+        scored = self._scored(pairs).where(F.nanvl("confidence", F.lit(-1.0)) >= least)
         # pairs that share several keys, and entities given twice
         return scored.groupBy(F.col("s_uri").alias("source_uri"), F.col("t_uri").alias("target_uri")).agg(F.max("confidence").alias("confidence"))
 
@@ -103,7 +104,7 @@ class LinkJob:
         """The detailed evaluation: missing values count 0, so pairs without values link too; with the tree of confidences."""
         pairs = self.source.crossJoin(F.broadcast(self.target)) if fits(self.target, SMALL_SIDE) else self.source.crossJoin(self.target)
         scored = self._scored(pairs, 0.0).withColumn("details", self.compiler.details())
-        return scored.where((F.col("confidence") >= 0) & ~F.isnan("confidence")).select(F.col("s_uri").alias("source_uri"), F.col("t_uri").alias("target_uri"), "confidence", "details")
+        return scored.where(F.nanvl("confidence", F.lit(-1.0)) >= 0).select(F.col("s_uri").alias("source_uri"), F.col("t_uri").alias("target_uri"), "confidence", "details")
 
     def score_pairs(self, pairs: DataFrame, missing: float = -1.0) -> DataFrame:
         """pairs (source_uri, target_uri, ...) with the rule's confidence; pairs of unknown entities are left out."""

@@ -200,7 +200,7 @@ def fmt_ntriples(spark, d):
 
 
 def fmt_alignment(spark, d):
-    return sinks.alignment_cells(_match_links(spark, d).withColumn("confidence", F.round("confidence", 2)), "urn:near")
+    return sinks.alignment_cells(en.window(_match_links(spark, d), 0.01), "urn:near")
 
 
 LINKS = "source_uri, target_uri, round(confidence, 6) AS confidence"
@@ -273,7 +273,7 @@ SQL = {
     "fmt_ntriples": f"SELECT '<' || source_uri || '>  <http://www.w3.org/2002/07/owl#sameAs>  <' || target_uri || '> .' AS line FROM {CLEAN_SQL}",
     "fmt_alignment": f"""
         SELECT '<map><Cell><entity1 rdf:resource="' || source_uri || '"/><entity2 rdf:resource="' || target_uri || '"/><relation>urn:near</relation><measure rdf:datatype="http://www.w3.org/2001/XMLSchema#float">'
-        || (round(confidence, 2) + 0.0) || '</measure></Cell></map>' AS line FROM {CLEAN_SQL}""",
+        || confidence || '</measure></Cell></map>' AS line FROM {CLEAN_SQL} WHERE confidence >= 0.01""",
 }
 
 # Triples: places with their paths, and customers with nations and regions; documents with a language.

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 class Values:
     col: Column
     many: bool = True
+    #: Whether the values are what a measure has made of the texts, in which a null is a value that it can't read.
+    prepared: bool = False
 
     def each(self, f: Callable[[Column], Column]) -> Values:
         """f of every value; a set stays a set. f maps no string to null."""
@@ -20,6 +22,8 @@ class Values:
 
     def as_array(self) -> Column:
         """The set, empty where there is none, without nulls."""
+        if self.prepared:
+            return self.col if self.many else F.array(self.col)
         if self.many:
             return F.coalesce(F.filter(self.col, lambda v: v.isNotNull()), F.array().cast("array<string>"))
         return F.when(self.col.isNull(), F.array().cast("array<string>")).otherwise(F.array(self.col))
