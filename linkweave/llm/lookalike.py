@@ -5,7 +5,6 @@ The work is done by DuckDB expressions inside Arrow partitions (problem 3).
 
 from __future__ import annotations
 
-import sys
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -23,6 +22,8 @@ GREEK = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧοϲϳν"
 GREEK_AS = "ABEZHIKMNOPTYXocjv"
 # Hyphens and dashes of a hyphen's look, beside those with a width decomposition.
 HYPHENS = "‐‑‒–−˗⁃﹣"
+#: Where characters with decompositions and spaces stand: all blocks but those of ideographs, Hangul and private use.
+BLOCKS = (range(0x80, 0x3400), range(0xA000, 0xAC00), range(0xF900, 0x12000), range(0x1D000, 0x20000))
 #: Characters that show nothing: format characters, variation selectors, joiners and fillers.
 INVISIBLE = r"[\p{Cf}\x{FE00}-\x{FE0F}\x{E0100}-\x{E01EF}\x{034F}\x{115F}\x{1160}\x{3164}\x{FFA0}\x{180B}-\x{180F}]"
 
@@ -32,7 +33,7 @@ def tables() -> tuple[dict[str, str], dict[str, str], dict[str, str]]:
     """Maps by rule: one character to one (width forms, spaces, hyphens), one to several (ligatures), look-alike to Latin."""
     single, several = dict.fromkeys(HYPHENS, "-"), {}
     latin = dict(zip(CYRILLIC + GREEK, CYRILLIC_AS + GREEK_AS, strict=True))
-    for c in map(chr, range(0x80, sys.maxunicode + 1)):
+    for c in map(chr, (k for block in BLOCKS for k in block)):
         kind = unicodedata.category(c)
         if kind == "Zs":
             single[c] = " "
