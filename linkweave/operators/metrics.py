@@ -370,7 +370,8 @@ class Wgs84(Metric):
         cos = F.sin(la) * F.sin(lb) + F.cos(la) * F.cos(lb) * F.cos(oa - ob)
         # rounding can push equal points out of the cosine's range
         d = F.degrees(F.acos(F.least(F.greatest(cos, F.lit(-1.0)), F.lit(1.0)))) * F.lit(KM_PER_DEGREE * self.unit / self.scale)
-        return F.coalesce(d, F.lit(INF))
+        # the bounds would make a number of a null
+        return F.when(la.isNotNull() & lb.isNotNull(), d).otherwise(F.lit(INF))
 
     def keys(self, radius, limit):
         km = radius * self.scale / self.unit

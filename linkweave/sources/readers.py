@@ -125,7 +125,7 @@ def parse_turtle(text: str, base: str = "") -> list[tuple]:
                 k += 1
             while punct() == ";":
                 k += 1
-            if punct() in (".", "]", "") or k >= len(tokens):
+            if k >= len(tokens) or punct() in (".", "]"):
                 return
 
     while k < len(tokens):
