@@ -96,7 +96,7 @@ class _Shard:
         self.ids = np.asarray(row["doc_ids"], np.int64)
         self.starts = np.asarray(row["starts"], np.int64)
         positions, ends = np.frombuffer(row["positions"], "<i4"), row["ends"]
-        self.lists = {t: positions[a:b] for t, a, b in zip(row["terms"], [0, *ends[:-1]], ends, strict=True)}
+        self.lists = {t: positions[a:b] for t, a, b in zip(row["terms"], [0, *ends][: len(ends)], ends, strict=True)}
         self.none = np.empty(0, np.int32)
 
     def of(self, term: str) -> np.ndarray:

@@ -76,6 +76,8 @@ def merge_atoms(sizes: list[int], strength: list[int], first_room: int, room: in
         size[a], alive[k], right[a] = total, False, right[k]
         if right[k] < n:
             left[right[k]] = a
+            if a == 0:  # the first piece has more room than its neighbour had before
+                heapq.heappush(heap, (strength[right[k]], total + size[right[k]], right[k]))
     return [k for k in range(n) if alive[k]]
 
 
