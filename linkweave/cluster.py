@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 #: A key is hot when it holds more than 1/HOT_PARTS of the rows, so there are fewer than HOT_PARTS hot keys at any size.
 HOT_PARTS = 256
+SLOTS = 4096
+#: A key of no more rows than this is no burden to one task, however few the others are.
+HOT_LEAST = 50_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -80,11 +83,19 @@ def checked_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if fits(df, max_rows) else df
 
 
-def hot_keys(df: DataFrame, key: str) -> list:
-    """The keys that hold more than 1/HOT_PARTS of the rows: fewer than HOT_PARTS values, whatever the size."""
-    counts = df.where(F.col(key).isNotNull()).groupBy(key).count()
+def hot_keys(df: DataFrame, key: str, least: int = HOT_LEAST) -> list:
+    """The keys that hold more than 1/HOT_PARTS of the rows, and more than ``least`` rows: fewer than HOT_PARTS values.
+
+    Rows are counted by a hash of the key with SLOTS values first; only keys of slots that full are counted one by one.
+    """
     total = measured(df)["rows"]
-    return [r[0] for r in counts.where(F.col("count") * HOT_PARTS > total).collect()]
+    if total <= least:
+        return []
+    slot = F.pmod(F.xxhash64(key), F.lit(SLOTS))
+    full = (F.col("count") * HOT_PARTS > total) & (F.col("count") > least)
+    rows = df.where(F.col(key).isNotNull())
+    slots = [r[0] for r in rows.groupBy(slot.alias("s")).count().where(full).collect()]
+    return [r[0] for r in rows.where(slot.isin(slots)).groupBy(key).count().where(full).collect()] if slots else []
 
 
 def skew_safe_lookup(left: DataFrame, key: str, table: DataFrame, table_key: str, how: str = "inner") -> DataFrame:
