@@ -120,11 +120,11 @@ def _sql() -> dict[str, str]:
             r AS (SELECT *, row_number() OVER (PARTITION BY interlink_id, source_uri ORDER BY confidence DESC, target_uri) AS k FROM p)
             SELECT interlink_id, source_uri, target_uri FROM r WHERE k <= n""",
         "p7_found": r"""
-            WITH dw AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),
-            iw AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM benchmark_items),
-            dg AS (SELECT doc_id, array_to_string(w[k:k + 11], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS k FROM dw)),
-            ig AS (SELECT DISTINCT item_id, array_to_string(w[k:k + 11], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS k FROM iw))
-            SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)""",
+            WITH dw AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS w, generate_subscripts(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), 1) AS k FROM documents),
+            iw AS (SELECT item_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS w, generate_subscripts(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), 1) AS k FROM benchmark_items),
+            dg AS (SELECT doc_id, string_agg(w, ' ') OVER x AS g, count(*) OVER x AS n FROM dw WINDOW x AS (PARTITION BY doc_id ORDER BY k ROWS BETWEEN CURRENT ROW AND 11 FOLLOWING)),
+            ig AS (SELECT item_id, string_agg(w, ' ') OVER x AS g, count(*) OVER x AS n FROM iw WINDOW x AS (PARTITION BY item_id ORDER BY k ROWS BETWEEN CURRENT ROW AND 11 FOLLOWING))
+            SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g, n) WHERE n = 12""",
     }
 
 
