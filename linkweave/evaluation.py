@@ -25,12 +25,16 @@ def _ratio(a: Column, b: Column) -> Column:
 
 def quality(counts: DataFrame) -> DataFrame:
     """precision, recall, f_measure, specificity and Matthews' coefficient of confusion counts; 0 where a denominator is 0."""
+    return counts.select(*_quality_columns())
+
+
+def _quality_columns() -> list[Column]:
     tp, tn, fp, fn = (F.col(c).cast("double") for c in ("tp", "tn", "fp", "fn"))
     precision, recall = _ratio(tp, tp + fp), _ratio(tp, tp + fn)
-    return counts.select(
+    return [
         precision.alias("precision"), recall.alias("recall"), _ratio(2 * precision * recall, precision + recall).alias("f_measure"), _ratio(tn, tn + fp).alias("specificity"),
         _ratio(tp * tn - fp * fn, F.sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn))).alias("mcc"),
-    )
+    ]
 
 
 def graded_score(scored: DataFrame, threshold: float = 0.9) -> DataFrame:
@@ -84,6 +88,26 @@ def with_negatives(positive: DataFrame) -> DataFrame:
     return pairs.withColumn("label", F.lit(True)).unionByName(wrong.withColumn("label", F.lit(False)))
 
 
+def import_reference(spark, path: str) -> DataFrame:
+    """Reference links of a file; where it has no negative ones, they are made as with_negatives does."""
+    from linkweave.sources.sinks import read_alignment
+
+    links = read_alignment(spark, path).select(*LINK, "label")
+    return with_negatives(links) if links.where(~F.col("label")).isEmpty() else links
+
+
+def compare_files(spark, generated: str, reference: str) -> DataFrame:
+    """One row of confusion counts and quality of a file of links against one of reference links.
+
+    A reference pair counts as predicted if the links have it, whatever its confidence.
+    """
+    from linkweave.sources.sinks import read_alignment
+
+    found = read_alignment(spark, generated).where("label").select(*LINK).distinct().withColumn("confidence", F.lit(1.0))
+    counts = confusion(read_alignment(spark, reference).select(*LINK, "label").distinct().join(found, LINK, "left"), 0.5)
+    return counts.select("*", *_quality_columns())
+
+
 def ranked(df: DataFrame, order: list[str]) -> DataFrame:
     """df with __k, its row's number from 0 in the order: ranges are sorted in parallel, and only their sizes are summed up."""
     from pyspark.sql import Window

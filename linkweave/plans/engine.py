@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -10,7 +9,7 @@ from pyspark.sql import functions as F
 
 from linkweave.cluster import fits
 from linkweave.plans.compiler import Compiler, Entity
-from linkweave.plans.rules import LinkRule, paths_of, variable_of
+from linkweave.plans.rules import LinkRule, Output, paths_of, variable_of
 from linkweave.values import Values
 
 #: A side of fewer rows than this may be sent to all tasks when all pairs are compared.
@@ -112,13 +111,15 @@ class LinkJob:
         scored = both.withColumn("confidence", self.compiler.confidence(missing))
         return scored.select(*pairs.columns, "confidence")
 
-    def write(self, links: DataFrame) -> Iterator[str]:
-        """Writes the links to every output of the rule, and gives each output's sink."""
+    def write(self, links: DataFrame, outputs: tuple[Output, ...] | None = None) -> list[str]:
+        """Offers the links to every output, the rule's own unless others are given, and gives the sinks. They are made once."""
         from linkweave.registry import lookup
 
-        for o in self.rule.outputs:
+        outputs = self.rule.outputs if outputs is None else outputs
+        links = links.persist() if len(outputs) > 1 else links
+        for o in outputs:
             lookup("sink", o.sink)(**o.params).write(window(links, o.min_confidence, o.max_confidence), self.rule.link_type)
-            yield o.sink
+        return [o.sink for o in outputs]
 
 
 def limit_links(links: DataFrame, limit: int | None) -> DataFrame:

@@ -68,6 +68,18 @@ def test_reference_links(spark):
     assert spark.range(1).select(ev.percent(F.lit(-1.0)), ev.percent(F.lit(1.0))).first() == (0.0, 100.0)
 
 
+def test_reference_files(spark, tmp_path):
+    (tmp_path / "ref.nt").write_text("<urn:a> <urn:p> <urn:1> .\n<urn:b> <urn:p> <urn:2> .\n")
+    got = ev.import_reference(spark, str(tmp_path / "ref.nt"))
+    assert rows(got) == [("urn:a", "urn:1", True), ("urn:a", "urn:2", False), ("urn:b", "urn:1", False), ("urn:b", "urn:2", True)]
+    cell = '<map><Cell><entity1 rdf:resource="urn:{}"/><entity2 rdf:resource="urn:{}"/><relation>{}</relation><measure>1.0</measure></Cell></map>\n'
+    (tmp_path / "ref.xml").write_text("<Alignment>" + cell.format("a", 1, "=") + cell.format("b", 2, "=") + cell.format("a", 2, "!=") + "</Alignment>")
+    assert ev.import_reference(spark, str(tmp_path / "ref.xml")).count() == 3
+    (tmp_path / "links.nt").write_text("<urn:a> <urn:p> <urn:1> .\n<urn:a> <urn:p> <urn:2> .\n<urn:x> <urn:p> <urn:y> .\n")
+    r = ev.compare_files(spark, str(tmp_path / "links.nt"), str(tmp_path / "ref.xml")).first()
+    assert (r["tp"], r["fp"], r["fn"], r["tn"]) == (1, 1, 1, 0) and r["precision"] == 0.5
+
+
 def test_stream_in_three_batches(spark, tmp_path):
     rule = LinkRule("r", Dataset("in", "a"), Dataset("known", "b"), Compare("levenshteinDistance", PathInput("?a/name"), PathInput("?b/name"), 2.0), Filter(1.0, 1))
     schema = "id string, name string"

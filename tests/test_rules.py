@@ -183,7 +183,7 @@ def test_configuration_runs_and_round_trips(spark):
     ((_, job),) = xml_io.rule_jobs(spark, c)
     links = job.links()
     assert [tuple(x) for x in links.collect()] == [("http://ex.example/a", "http://ex.example/x", 1.0)]
-    assert list(job.write(links)) == ["memory"] and spark.table("kept").count() == 1
+    assert job.write(links, c.outputs_of(r)) == ["memory"] and spark.table("kept").count() == 1
     again = xml_io.read_configuration(xml_io.write_configuration(c))
     assert again.rules == c.rules and again.sources == c.sources and again.merge(c).sources == c.sources
 
