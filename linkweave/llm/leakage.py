@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -120,26 +121,22 @@ class _Shard:
             at = at[self.has(words[k], at + k)]
         return at
 
-    def phrases(self, words: list[str], least: int) -> np.ndarray:
-        """Indexes of documents that hold at least `least` consecutive words of the item in a row."""
-        if len(words) < least:
-            return np.empty(0, np.int64)
-        # any run of `least` words holds a whole aligned block of this many
-        size = (least + 1) // 2
-        found = []
-        for first in range(0, len(words) - size + 1, size):
-            at = self.block(words[first : first + size])
-            if not len(at):
-                continue
-            run = np.full(len(at), size)
-            for step, k in ((-1, first - 1), (1, first + size)):
-                alive, j = np.ones(len(at), bool), k
-                while 0 <= j < len(words) and alive.any():
-                    alive[alive] = self.has(words[j], at[alive] + (j - first))
-                    run += alive
-                    j += step
-            found.append(at[run >= least])
-        at = np.concatenate(found) if found else self.none
+    def runs(self, words: list[str], first: int, size: int, least: int) -> np.ndarray:
+        """Positions at which words[first : first + size] stand in a run of at least `least` words of the item."""
+        at = self.block(words[first : first + size])
+        if not len(at):
+            return at
+        run = np.full(len(at), size)
+        for step, k in ((-1, first - 1), (1, first + size)):
+            alive, j = np.ones(len(at), bool), k
+            while 0 <= j < len(words) and alive.any():
+                alive[alive] = self.has(words[j], at[alive] + (j - first))
+                run += alive
+                j += step
+        return at[run >= least]
+
+    def documents(self, at: np.ndarray) -> np.ndarray:
+        """Indexes of the documents that hold the positions."""
         return np.unique(np.searchsorted(self.starts, at, side="right") - 1)
 
     def near(self, words: list[str], window: int) -> np.ndarray:
@@ -169,15 +166,36 @@ class _Shard:
         return np.unique(doc)
 
 
+def _anchors(items: list[tuple[int, list[str]]], least: int, window: int | None) -> dict[str, list[tuple[int, int]]]:
+    """Of each item's aligned blocks of words, or of the whole item where order doesn't count, the rarest word among the items
+    (of equally rare ones the longest), with the item's place and the block's. Any run of ``least`` words holds a whole block."""
+    counts = Counter(w for _, words in items for w in set(words))
+    rarest = lambda words: min(words, key=lambda w: (counts[w], -len(w), w))
+    size, out = (least + 1) // 2, {}
+    for k, (_, words) in enumerate(items):
+        if window is not None:
+            if words:
+                out.setdefault(rarest(words), []).append((k, 0))
+        elif len(words) >= least:
+            for first in range(0, len(words) - size + 1, size):
+                out.setdefault(rarest(words[first : first + size]), []).append((k, first))
+    return out
+
+
 def _search(index: DataFrame, items: list[tuple[int, list[str]]], least: int, window: int | None) -> DataFrame:
+    anchors = _anchors(items, least, window)
+
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in b.to_pylist():
+                # only items of which the shard has a rarest word are looked at
                 s, docs, hits = _Shard(row), [], []
-                for item, words in items:
-                    at = s.phrases(words, least) if window is None else s.near(words, window)
-                    docs.append(s.ids[at])
-                    hits.append(np.full(len(at), item, np.int64))
+                for term in anchors.keys() & s.lists.keys():
+                    for k, first in anchors[term]:
+                        item, words = items[k]
+                        at = s.documents(s.runs(words, first, (least + 1) // 2, least)) if window is None else s.near(words, window)
+                        docs.append(s.ids[at])
+                        hits.append(np.full(len(at), item, np.int64))
                 if docs:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(docs)), pa.array(np.concatenate(hits))], names=["doc_id", "item_id"])
 
@@ -200,16 +218,21 @@ def find_leaks(docs: DataFrame, items: DataFrame, least: int = 12, window: int |
     """(doc_id, item_id): documents that hold at least ``least`` consecutive words of an item in a row, exactly.
 
     With ``window``, instead: documents that hold all words of the item, in any order, within that many words. The corpus is
-    indexed once (build_index, written to the shared folder); every shard then answers all items. Items, the evaluation
-    set, are taken in blocks of bounded size. Items with fewer than ``least`` words, null or empty texts match nothing;
+    read and indexed once (build_index, written to the shared folder), with the items' terms alone if the items are no more
+    than ITEM_CHARS characters, else with all terms. Each shard looks up the items' rarest terms and compares the items that have
+    one there. Items are taken in blocks of at most ITEM_CHARS characters, each of which reads the index. Items with fewer than ``least`` words, null or empty texts match nothing;
     repeated documents and items each give their own rows; an empty table gives none. Ids are integers.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "leaks")
-    out = None
+    size = items.where(F.col(item_id).isNotNull()).agg(F.coalesce(F.sum(F.length(text)), F.lit(0))).first()[0]
+    index = out = None
     for block in _blocks(items, item_id, text):
-        vocabulary = sorted({w for _, words in block for w in words})
-        index = scratch.cut(build_index(docs, doc_id, text, vocabulary))
+        if index is None:
+            vocabulary = sorted({w for _, words in block for w in words}) if size <= ITEM_CHARS else None
+            index = scratch.cut(build_index(docs, doc_id, text, vocabulary))
         hits = _search(index, block, least, window)
         out = hits if out is None else out.unionByName(hits)
-    return spark.createDataFrame([], "doc_id bigint, item_id bigint") if out is None else out
+    if out is None:
+        return spark.createDataFrame([], "doc_id bigint, item_id bigint")
+    return out.distinct()

@@ -104,13 +104,32 @@ def label_forms(path_values: DataFrame) -> DataFrame:
     return normalize_column(values.where(F.col("value").isNotNull()), "value", "form")
 
 
+def lookalike_classes(forms: DataFrame, row: str = "row_id", value: str = "value", form: str = "form") -> DataFrame:
+    """(form, spellings, members): each form that is written in several ways, with the number of its spellings and of the rows that
+    hold one. One row per class, whatever its size; nulls belong to none. lookalike_members() has the rows of the classes."""
+    v = forms.select(F.col(form).alias("form"), F.col(value).alias("v"), F.col(row).alias("r")).where("r is not null and v is not null and form is not null")
+    # rows are counted by spelling first, so a frequent form is no burden; a row with two spellings counts once
+    once = v.groupBy("form", "v", "r").agg(F.lit(1).alias("one"))
+    spelt = once.groupBy("form", "v").agg(F.count(F.lit(1)).alias("n"))
+    several = spelt.groupBy("form").agg(F.count(F.lit(1)).alias("spellings")).where("spellings > 1")
+    held = once.join(several, "form", "left_semi").groupBy("form", "r").agg(F.lit(1).alias("one")).groupBy("form").agg(F.count(F.lit(1)).alias("members"))
+    return several.join(held, "form")
+
+
+def lookalike_members(forms: DataFrame, row: str = "row_id", value: str = "value", form: str = "form") -> DataFrame:
+    """(row, form, value) of the rows of lookalike_classes()."""
+    several = forms.where(F.col(value).isNotNull() & F.col(row).isNotNull()).groupBy(form).agg(F.min(value).alias("__lo"), F.max(value).alias("__hi")).where("__lo <> __hi").select(form)
+    return forms.select(row, form, value).where(F.col(row).isNotNull()).join(several, form, "left_semi").distinct().select(row, form, value)
+
+
 SALTS = 16
 
 
 def lookalike_pairs(forms: DataFrame, row: str = "row_id", value: str = "value", form: str = "form") -> DataFrame:
     """(row_id_a, row_id_b): rows that hold values of one form but other code points, row_id_a < row_id_b, each pair once.
 
-    Forms written in one way only are dropped by a map-side minimum and maximum before any pair is made. Forms that hold a large
+    lookalike_classes() and lookalike_members() say the same in one row per form and per member. Forms should be a written table, as
+    they are read several times. Forms written in one way only are dropped by a map-side minimum and maximum before any pair is made. Forms that hold a large
     share of the rest are joined in SALTS parts, so no task gets one whole. Nulls match nothing.
     """
     v = forms.select(F.col(row).alias("r"), F.col(value).alias("v"), F.col(form).alias("f")).where("r is not null and v is not null and f is not null")

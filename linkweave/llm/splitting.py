@@ -20,6 +20,9 @@ SLACK = 12
 RUN, WORD, LINE, PARAGRAPH, CELL = range(5)
 #: First lines of a cell in the three styles of the notebooks (fixed pattern).
 CELL_MARK = re.compile(rb"# %% \[|# -> output|\[md\]|In \[|Out\[|```[a-z]")
+#: Characters of pieces that are handed on at once, about.
+BATCH_CHARS = 4_000_000
+NAMES = ["id", "n_tokens", "n_pieces", "piece_no", "piece_tokens", "start", "piece"]
 #: Atoms of a line that is too long: about this many tokens each.
 ATOM_TOKENS = 64
 
@@ -124,34 +127,31 @@ def split_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """Pieces of every document in order: id, n_tokens and n_pieces of the document, piece_no from 0, piece_tokens,
     start (the code point where its own part begins) and piece, its text.
 
-    A text of at most ``limit`` bytes has at most that many byte-level tokens; it passes as one piece without leaving the JVM,
-    with null for n_tokens and piece_tokens, as nothing has counted them. Null texts give no piece; empty ones give an
-    empty piece; repeated rows give repeated pieces; other columns are dropped.
+    A text within the limit is one piece. Null texts give no piece; empty ones give an empty piece of 0 tokens; repeated rows give
+    repeated pieces; other columns are dropped.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).where(F.col("t").isNotNull())
     kind = rows.schema["id"].dataType.simpleString()
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            out, size = [[] for _ in NAMES], 0
             for i, t in zip(b.column(0), b.column(1), strict=True):
                 n, pieces = split_text(t.as_py(), limit, overlap, vocabulary)
-                k = len(pieces)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([i.as_py()] * k, b.schema.field(0).type),
-                        pa.array([n] * k, pa.int64()),
-                        pa.array([k] * k, pa.int32()),
-                        pa.array(range(k), pa.int32()),
-                        pa.array([p[1] for p in pieces], pa.int64()),
-                        pa.array([p[2] for p in pieces], pa.int64()),
-                        pa.array([p[0] for p in pieces], pa.string()),
-                    ],
-                    names=["id", "n_tokens", "n_pieces", "piece_no", "piece_tokens", "start", "piece"],
-                )
-
-    short = F.octet_length("t") <= limit
+                for k, (piece, tokens, start) in enumerate(pieces):
+                    row = (i.as_py(), n, len(pieces), k, tokens, start, piece)
+                    size += len(piece)
+                    for column, x in zip(out, row, strict=True):
+                        column.append(x)
+                if size > BATCH_CHARS:
+                    yield batch(out, b.schema.field(0).type)
+                    out, size = [[] for _ in NAMES], 0
+            if out[0]:
+                yield batch(out, b.schema.field(0).type)
+
+    def batch(columns, kind):
+        kinds = [kind, pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string()]
+        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], names=NAMES)
+
     schema = f"id {kind}, n_tokens bigint, n_pieces int, piece_no int, piece_tokens bigint, start bigint, piece string"
-    cut = rows.where(~short).mapInArrow(split, schema)
-    none = F.lit(None).cast("bigint")
-    whole = rows.where(short).select("id", none.alias("n_tokens"), F.lit(1).alias("n_pieces"), F.lit(0).alias("piece_no"), none.alias("piece_tokens"), F.lit(0).cast("bigint").alias("start"), F.col("t").alias("piece"))
-    return cut.unionByName(whole).withColumnRenamed("id", id_col)
+    return rows.mapInArrow(split, schema).withColumnRenamed("id", id_col)

@@ -14,10 +14,11 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The public pre-tokenizer pattern of the vocabulary (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-#: Runs longer than this without a break in character class are encoded in chunks, since the encoder takes a time that
-#: grows faster than the run. Counts can then differ by a token per chunk.
-LONG_RUN = 100_000
-_RUN = re.compile(r"\S+|\s+")
+#: White space of the pattern (fixed value) in runs that long is cut out of the text, as the pattern matcher would run out of
+#: stack in far longer ones. The pattern takes a run but for its last character as one piece, or all of it at the text's end;
+#: so the tokens are those of the whole text.
+LONG_RUN = 5000
+_SPACES = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}" % LONG_RUN)
 
 
 @lru_cache(maxsize=2)
@@ -42,6 +43,12 @@ def token_lengths(path: str = VOCABULARY) -> np.ndarray:
 def encode(text: str, path: str = VOCABULARY) -> list[int]:
     """Token ids of the whole text; '' has none."""
     enc = encoder(path)
-    if len(text) >= LONG_RUN and any(m.end() - m.start() >= LONG_RUN for m in _RUN.finditer(text)):
-        return [t for k in range(0, len(text), LONG_RUN) for t in enc.encode_ordinary(text[k : k + LONG_RUN])]
-    return enc.encode_ordinary(text)
+    if len(text) < LONG_RUN:
+        return enc.encode_ordinary(text)
+    out, at = [], 0
+    for m in _SPACES.finditer(text):
+        end = m.end() if m.end() == len(text) else m.end() - 1
+        out += enc.encode_ordinary(text[at : m.start()])
+        out += enc._encode_single_piece(text[m.start() : end])
+        at = end
+    return out + enc.encode_ordinary(text[at:]) if at else enc.encode_ordinary(text)

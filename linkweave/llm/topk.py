@@ -18,9 +18,9 @@ def top_n_per_group(df: DataFrame, group: list[str], item: str, score: str, limi
     df: at most one row per (group, item), score neither null nor NaN and within [low, high]; limit is a column, constant
     within a group and never above max_limit. A histogram of each group's scores is built by map-side counts. From its top
     downwards it gives the lower edge of the bin in which the limit-th item lies: at least limit items reach that edge, so
-    no row below it can be kept. The edges of the hot groups, those with more than 1/HOT_PARTS of all rows, are fewer than
-    HOT_PARTS and are broadcast; other groups' rows need no cut, since their partial top N is taken before the
-    shuffle. What is left is ranked exactly. Ties on score go by item; empty input gives no rows; other columns are kept.
+    no row below it can be kept. Every group of more than limit items is cut at its edge. The edges of the hot groups, those with
+    more than 1/HOT_PARTS of all rows, are fewer than HOT_PARTS and are broadcast, so their rows are cut where they lie; other
+    groups' rows meet their edges in the shuffle that ranks them. What is left is ranked exactly. Ties on score go by item; empty input gives no rows; other columns are kept.
     """
     width = (high - low) / bins
     bin_of = F.least(F.greatest(F.floor((F.col(score) - low) / width), F.lit(0)), F.lit(bins - 1)).cast("int")
@@ -39,11 +39,16 @@ def top_n_per_group(df: DataFrame, group: list[str], item: str, score: str, limi
         lambda acc, b: F.when(acc["seen"] >= F.col("__limit"), acc).otherwise(F.struct((acc["seen"] + b["__n"]).alias("seen"), b["__bin"].alias("edge"))),
     )
     total = histogram.agg(F.coalesce(F.sum("__n"), F.lit(0)).alias("t")).first()["t"]
-    edges = per_group.where((F.col("__rows") * HOT_PARTS > F.lit(total)) & (F.col("__rows") > F.col("__limit"))).select(*[F.col(g).alias(f"__g_{g}") for g in group], walked["edge"].alias("__edge"))
+    edges = per_group.where(F.col("__rows") > F.col("__limit")).select(*[F.col(g).alias(f"__g_{g}") for g in group], walked["edge"].alias("__edge"), (F.col("__rows") * HOT_PARTS > F.lit(total)).alias("__hot"))
     same = reduce(lambda a, b: a & b, [F.col(g).eqNullSafe(F.col(f"__g_{g}")) for g in group])
-    kept = binned.join(F.broadcast(edges), same, "left").where(F.col("__edge").isNull() | (F.col("__bin") >= F.col("__edge"))).drop("__edge", "__bin", *[f"__g_{g}" for g in group])
+    extra = ["__edge", "__hot", *[f"__g_{g}" for g in group]]
+    with_hot = binned.join(F.broadcast(edges.where("__hot")), same, "left")
+    hot = with_hot.where(F.col("__bin") >= F.col("__edge")).drop(*extra)
+    rest = with_hot.where(F.col("__edge").isNull()).drop(*extra).join(edges.where(~F.col("__hot")), same, "left")
+    rest = rest.where(F.col("__edge").isNull() | (F.col("__bin") >= F.col("__edge"))).drop(*extra)
     rank = F.row_number().over(Window.partitionBy(*group).orderBy(F.col(score).desc(), F.col(item).asc()))
-    return kept.withColumn("__rank", rank).where(F.col("__rank") <= max_limit).where(F.col("__rank") <= F.col(limit)).withColumnRenamed("__rank", "rank")
+    ranked = lambda kept: kept.drop("__bin").withColumn("rank", rank).where(F.col("rank") <= max_limit).where(F.col("rank") <= F.col(limit))
+    return ranked(hot).unionByName(ranked(rest))
 
 
 def best_links(links: DataFrame, filters: DataFrame) -> DataFrame:

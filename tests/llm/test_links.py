@@ -90,3 +90,14 @@ def test_histogram_keeps_ties_at_the_edge(spark):
     df = spark.createDataFrame(rows, "g string, i string, s double, n int")
     got = [r["i"] for r in top_n_per_group(df, ["g"], "i", "s", "n", 10, -1.0, 1.0).where("g = 'g'").orderBy("rank").collect()]
     assert got == ["top"] + [f"i{k:03d}" for k in range(9)]
+
+
+def test_every_group_above_its_limit_is_cut(spark):
+    # hot and ordinary groups, null groups, ties across the cut
+    rows = [("i", f"s{k % 7}" if k % 3 else "hot", f"t{k:04d}", (k * 37 % 101) / 101, 3) for k in range(900)] + [("i", None, f"t{k}", 0.5, 3) for k in range(9)]
+    df = spark.createDataFrame(rows, "g string, s string, item string, score double, n int")
+    got = sorted((r["s"] or "", r["rank"], r["item"]) for r in top_n_per_group(df, ["g", "s"], "item", "score", "n", 3, -1.0, 1.0).collect())
+    groups = {}
+    for g, s, item, score, n in rows:
+        groups.setdefault(s or "", []).append((-score, item))
+    assert got == sorted((s, k + 1, item) for s, v in groups.items() for k, (_, item) in enumerate(sorted(v)[:3]))

@@ -5,10 +5,11 @@ import itertools
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from linkweave.llm import charsets, leakage, lookalike, mixing, splitting
+from linkweave.llm import charsets, leakage, lookalike, mixing, splitting, tokens
 from linkweave.llm.tokens import encode
 
 # ---- look-alike forms
@@ -59,6 +60,15 @@ CLEAN = {
 }
 
 
+def repairer():
+    texts, letters, slots = corpus(), {}, np.zeros(charsets.SLOTS, np.int64)
+    for t in texts:
+        if (name := charsets.language_of(t)) is not None:
+            letters.setdefault(name, set()).update(c for c in t if ord(c) > 127)
+            np.add.at(slots, charsets._group_slots(t), 1)
+    return charsets.Repairer(charsets.train_dictionaries(texts, {k: "".join(sorted(v)) for k, v in letters.items()}, slots))
+
+
 def corpus():
     rng = random.Random(1)
     words = {k: [w for t in v for w in t.split()] for k, v in CLEAN.items()}
@@ -66,7 +76,7 @@ def corpus():
 
 
 def test_repair():
-    fix = charsets.Repairer(charsets.train_dictionaries(corpus()))
+    fix = repairer()
     for texts in CLEAN.values():
         for t in texts:
             assert fix.repair(t) is None, t
@@ -79,7 +89,7 @@ def test_repair():
     assert fix.repair("Град Зима Бор".encode("cp1251").decode("latin-1"))[0] == "Град Зима Бор"
     assert fix.repair("橋石こせ".encode("shift_jis").decode("latin-1"))[0] == "橋石こせ"
     assert fix.repair("Forêt " + "Noëve".encode().decode("latin-1"))[0] == "Forêt Noëve"
-    for lost in ("Gr?n M?hbach", "S�o", "?t?p"):
+    for lost in ("Gr?n M?hbach", "S�o", "?t?p", "Pi??"):
         assert fix.repair(lost) == (None, "lost")
     for right in ("what? a lake", "red brick hall", "± 5 m 70", "£ 20 fee", "© hall trust", "21 °C", "IRMÃ Ã ROSA", "Ångvik ½", "¿Dónde? Ñuro 12", "", "  "):
         assert fix.repair(right) is None, right
@@ -88,15 +98,15 @@ def test_repair():
 def test_garbled_values(spark):
     good = corpus()
     bad = ["SÃ£o".encode().decode(), "ÐœÐ¾ÑÑ‚ Ð¢Ð¸Ñ…Ð°"]
-    data = [(k, [t]) for k, t in enumerate(good)] + [(9001, [None, "", bad[0]]), (9002, None), (9003, []), (9001, [bad[0]]), (9004, ["ok", "S?o T?l"])]
+    data = [(k, [t]) for k, t in enumerate(good)] + [(9001, [None, "", bad[0]]), (9002, None), (9003, []), (9001, [bad[0]]), (9004, ["ok", "S?o T?l"]), (9005, ["Noite Gua?"]), (9006, ["Guaç"]), (9007, ["why not? a lake"])]
     df = spark.createDataFrame(data, "value_id long, value_set array<string>").withColumn("text", F.lit("x")).withColumn("chain", F.lit("y"))
     got = charsets.garbled_values(df).collect()
-    assert {r["value_id"] for r in got} == {9001, 9004} and [r["restored"] for r in got if r["value_id"] == 9001] == ["São", "São"]
+    assert {r["value_id"] for r in got} == {9001, 9004, 9005} and [r["restored"] for r in got if r["value_id"] == 9001] == ["São", "São"]
     assert charsets.garbled_values(df.limit(0)).count() == 0
 
 
 def test_long_text_is_tried_whole():
-    fix = charsets.Repairer(charsets.train_dictionaries(corpus()))
+    fix = repairer()
     long = "Forêt Noëve " * 3000
     assert fix.repair(long) is None and fix.repair(long + "Pré".encode().decode("latin-1"))[0] == long + "Pré"
 
@@ -244,3 +254,36 @@ def test_split_documents(spark):
     n = len(splitting.split_text("line of words\n" * 2000)[1])
     assert got == {(1, 1): 1, (3, 1): 1, (4, n): 2 * n} and n > 1
     assert splitting.split_documents(docs.limit(0)).count() == 0
+
+
+def test_whitespace_runs_count_as_in_the_whole_text():
+    whole = tokens.encoder()
+    rng = random.Random(4)
+    for _ in range(40):
+        t = "".join(rng.choice(["ab ", "x", "\n", " é", "1", "\t", " " * rng.randrange(5000, 6000), "\n" * 5001, "　" * 5002]) for _ in range(rng.randrange(1, 20)))
+        assert encode(t) == whole.encode_ordinary(t)
+    assert len(encode("a" + "\n" * 2_000_000 + "b")) > 1
+
+
+def test_short_texts_have_their_token_counts(spark):
+    docs = spark.createDataFrame([(1, "two words"), (2, "")], "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_tokens"], r["piece_tokens"], r["piece"]) for r in splitting.split_documents(docs).collect()}
+    assert got == {1: (2, 2, "two words"), 2: (0, 0, "")}
+
+
+def test_leaks_with_more_items_than_a_block(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, " ".join(f"w{k}x{j}" for j in range(20))) for k in range(12)], "doc_id long, text string")
+    items = docs.withColumnRenamed("doc_id", "item_id")
+    monkeypatch.setattr(leakage, "ITEM_CHARS", 300)
+    got = sorted((r["doc_id"], r["item_id"]) for r in leakage.find_leaks(docs, items).collect())
+    assert got == [(k, k) for k in range(12)]
+    assert sorted((r["doc_id"], r["item_id"]) for r in leakage.find_leaks(docs, items, window=25).collect()) == got
+    assert leakage.find_leaks(docs, items, window=15).count() == 0
+
+
+def test_classes_of_lookalikes(spark):
+    rows = [(1, "a", "f"), (2, "á", "f"), (2, "a", "f"), (3, "a", "f"), (4, "b", "g"), (None, "c", "g"), (5, None, "g")]
+    forms = spark.createDataFrame(rows, "row_id long, value string, form string")
+    assert [tuple(r) for r in lookalike.lookalike_classes(forms).collect()] == [("f", 2, 3)]
+    assert sorted(map(tuple, lookalike.lookalike_members(forms).collect())) == [(1, "f", "a"), (2, "f", "a"), (2, "f", "á"), (3, "f", "a")]
+    assert lookalike.lookalike_classes(forms.limit(0)).count() == 0
