@@ -112,3 +112,25 @@ def skew_safe_lookup(left: DataFrame, key: str, table: DataFrame, table_key: str
     is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
     few = F.broadcast(right.where(F.col(key).isin(hot)))
     return left.where(is_hot).join(few, key, how).unionByName(left.where(~is_hot).join(right, key, how))
+
+
+#: Parts into which each side's rows of a hot key fall in skew_safe_join().
+GRID = 8
+
+
+def skew_safe_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """left and right joined on key, where both sides may hold many rows of one key. Rows whose key is null match nothing.
+
+    Rows of a hot key (fewer than HOT_PARTS keys of either side) fall into GRID parts on each side, and each two parts meet in a
+    task of their own, so a key that holds a third of all rows is spread over GRID x GRID tasks."""
+    hot = sorted({*hot_keys(left, key), *hot_keys(right, key)})
+    if not hot:
+        return left.join(right, key)
+    is_hot = F.col(key).isin(hot)
+
+    def parted(df: DataFrame, mine: str, other: str) -> DataFrame:
+        spread = F.pmod(F.xxhash64(*[c for c, kind in df.dtypes if not kind.startswith("map")]), F.lit(GRID)).cast("int")
+        every = F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(GRID - 1))).otherwise(F.array(F.lit(0))))
+        return df.withColumn(mine, F.when(is_hot, spread).otherwise(F.lit(0))).withColumn(other, every)
+
+    return parted(left, "__l", "__r").join(parted(right, "__r", "__l"), [key, "__l", "__r"]).drop("__l", "__r")

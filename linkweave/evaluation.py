@@ -126,3 +126,30 @@ def ranked(df: DataFrame, order: list[str]) -> DataFrame:
 def percent(confidence: Column) -> Column:
     """A confidence as a percentage, -1 being 0."""
     return (confidence + 1) * 50
+
+
+def first_by_uri(entities, order: list[str]) -> object:
+    """Entities with one row per uri: the first in the order of the given columns, then of all others, so copies don't matter."""
+    from pyspark.sql import Window
+
+    from linkweave.plans.engine import Entities
+
+    df = entities.df
+    rest = [c for c in df.columns if c not in ("uri", *order)]
+    rank = F.row_number().over(Window.partitionBy("uri").orderBy(*order, *[F.col(c).cast("string") for c in rest]))
+    return Entities(df.withColumn("__rank", rank).where("__rank = 1").drop("__rank"), entities.columns)
+
+
+def cache_reference_entities(source, target, reference: DataFrame, folder: str):
+    """The entities of both sides that reference links name, written to the folder and read back: all that evaluating a rule on the
+    links needs. Links in either direction are meant as source to target; entities nobody names are left out."""
+    from linkweave.plans.engine import Entities
+    from linkweave.sources.readers import read_cache, write_cache
+
+    out = []
+    for name, side, column in (("source", source, "source_uri"), ("target", target, "target_uri")):
+        named = reference.select(F.col(column).alias("uri")).distinct()
+        path = f"{folder.rstrip('/')}/{name}"
+        write_cache(Entities(side.df.join(named, "uri", "left_semi"), side.columns), path)
+        out.append(read_cache(reference.sparkSession, path))
+    return tuple(out)

@@ -115,6 +115,41 @@ def edit_keys(tau_of: Callable[[Column], Column], longest: Callable[[Column], tu
     return source, target
 
 
+#: Greatest length up to which strings are blocked by what is left of them after deletions, by the edits allowed: some 200 keys.
+DELETE_UP_TO = {1: 60, 2: 18, 3: 9}
+
+
+def _without(s: Column, tau: int) -> Column:
+    """The string and all that is left of it after up to tau deletions."""
+    level = F.array(s)
+    levels = [level]
+    for _ in range(tau):
+        one_less = lambda x: F.transform(F.sequence(F.lit(1), F.length(x)), lambda i: F.concat(x.substr(F.lit(1), i - 1), x.substr(i + 1, F.length(x))))
+        level = F.array_distinct(F.flatten(F.transform(F.filter(level, lambda x: F.length(x) > 0), one_less)))
+        levels.append(level)
+    return F.array_distinct(F.flatten(F.array(*levels)))
+
+
+def delete_keys(tau: int, partition: Keys) -> Keys:
+    """Keys for edit distances up to tau: strings so near become one by at most tau deletions from each. Such keys stay selective where
+    all strings share a long part, as padded numbers do. Targets longer than DELETE_UP_TO go by partition instead."""
+    most = DELETE_UP_TO[tau]
+    none = F.array().cast("array<string>")
+    marked = lambda s: F.transform(_without(s, tau), lambda x: F.concat(F.lit("-"), x))
+    source_part, target_part = partition
+
+    def target(s: Column) -> Column:
+        return F.when(s.isNull(), none).when(F.length(s) <= most, marked(s)).otherwise(target_part(s))
+
+    def source(s: Column) -> Column:
+        n = F.length(s)
+        short = F.when(n <= most + tau, marked(s)).otherwise(none)
+        long = F.when(n + tau > most, source_part(s)).otherwise(none)
+        return F.when(s.isNull(), none).otherwise(F.concat(short, long))
+
+    return source, target
+
+
 class Levenshtein(Metric):
     """Edit distance; infinite where the lengths differ by the limit or more."""
 
@@ -134,8 +169,10 @@ class Levenshtein(Metric):
         # beyond this the keys are more than they save
         if tau < 0 or tau > 8:
             return None
-        span = lambda n: (F.greatest(n - tau, F.lit(0)), n + tau)
-        return edit_keys(lambda n: F.lit(tau), span)
+        if tau not in DELETE_UP_TO:
+            return edit_keys(lambda n: F.lit(tau), lambda n: (F.greatest(n - tau, F.lit(0)), n + tau))
+        span = lambda n: (F.greatest(n - tau, F.lit(DELETE_UP_TO[tau] + 1)), n + tau)
+        return delete_keys(tau, edit_keys(lambda n: F.lit(tau), span))
 
 
 class NormalizedLevenshtein(Metric):

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from linkweave.cluster import fits
+from linkweave.cluster import Scratch, fits, skew_safe_join
 from linkweave.plans.compiler import Compiler, Entity
 from linkweave.plans.rules import LinkRule, Output, paths_of, variable_of
 from linkweave.values import Values
@@ -74,7 +74,7 @@ class LinkJob:
             return self.source.crossJoin(self.target)
         left = self.source.withColumn("__key", F.explode(keys[0]))
         right = self.target.withColumn("__key", F.explode(keys[1]))
-        return left.join(right, "__key").drop("__key")
+        return skew_safe_join(left, right, "__key").drop("__key")
 
     def _scored(self, pairs: DataFrame, missing: float = -1.0) -> DataFrame:
         if (cond := self.compiler.necessary()) is not None and missing == -1.0:
@@ -116,9 +116,11 @@ class LinkJob:
         from linkweave.registry import lookup
 
         outputs = self.rule.outputs if outputs is None else outputs
-        links = links.persist() if len(outputs) > 1 else links
+        scratch = Scratch(links.sparkSession, "links") if len(outputs) > 1 else None
+        links = scratch.cut(links) if scratch else links
         for o in outputs:
-            lookup("sink", o.sink)(**o.params).write(window(links, o.min_confidence, o.max_confidence), self.rule.link_type)
+            sink = lookup("sink", o.sink)(**o.params)
+            sink.write(window(links, o.min_confidence, o.max_confidence), self.rule.link_type)
         return [o.sink for o in outputs]
 
 

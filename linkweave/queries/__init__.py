@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("skew", "scalars", "links")
+MODULES = ("skew", "scalars", "links", "files")
 
 
 def _all(name: str) -> dict:

@@ -57,10 +57,10 @@ def names(spark, d, side):
 
 
 def places(spark, d, source, side):
-    """Places of one source: sets of labels, places on the map and codes."""
-    rows = _t(spark, d, "path_values").where(F.col("source_id") == source).select("uri", "prop_path", F.explode("value_set").alias("v")).where("v is not null")
+    """Places of one source: sets of labels, places on the map and codes. Any row of a uri says its source, in any case and padding."""
+    rows = _t(spark, d, "path_values").select("uri", F.lower(F.trim("source_id")).alias("source"), "prop_path", F.explode_outer("value_set").alias("v"))
     of = lambda p: F.collect_set(F.when(F.col("prop_path") == p, F.col("v")))
-    sets = rows.groupBy("uri").agg(of("rdfs:label").alias("label"), of("wgs:geometry").alias("geo"), of("ogz:postcode").alias("code"))
+    sets = rows.groupBy("uri").agg(F.max("source").alias("source"), of("rdfs:label").alias("label"), of("wgs:geometry").alias("geo"), of("ogz:postcode").alias("code")).where(F.col("source") == source)
     return en.table_entities(sets, "uri", {f"?{side}/label": "label", f"?{side}/geo": "geo", f"?{side}/code": "code"})
 
 
@@ -212,7 +212,7 @@ FLAG_ALL = f"SELECT source_uri, target_uri, 1 - d / 3.0 AS confidence FROM ({CS}
 TOP1 = f"SELECT *, row_number() OVER (PARTITION BY source_uri ORDER BY confidence DESC, target_uri) AS k FROM ({FLAG_ALL})"
 CLEAN_SQL = "(SELECT * FROM match_links WHERE confidence IS NOT NULL AND NOT isnan(confidence))"
 DISTINCT_SQL = f"(SELECT source_uri, target_uri, max(confidence) AS confidence FROM {CLEAN_SQL} GROUP BY ALL)"
-PLACES = "(SELECT DISTINCT uri, x FROM (SELECT uri, unnest(value_set) AS x FROM path_values WHERE source_id = '{}' AND prop_path = '{}') WHERE x IS NOT NULL)"
+PLACES = "(SELECT DISTINCT uri, x FROM (SELECT uri, unnest(value_set) AS x FROM path_values WHERE uri IN (SELECT uri FROM path_values GROUP BY uri HAVING max(lower(trim(source_id))) = '{}') AND prop_path = '{}') WHERE x IS NOT NULL)"
 GEO = r"""(SELECT uri, try_cast(s[CASE WHEN p THEN 2 ELSE 1 END] AS DOUBLE) AS lat, try_cast(s[CASE WHEN p THEN 1 ELSE 2 END] AS DOUBLE) AS lon FROM
     (SELECT uri, starts_with(x, 'POINT') AS p, string_split(trim(regexp_replace(x, '[^0-9.+ -]', '', 'g')), ' ') AS s FROM {}) WHERE len(s) = 2)"""
 KM = "degrees(acos(least(greatest(sin(radians(a.lat)) * sin(radians(b.lat)) + cos(radians(a.lat)) * cos(radians(b.lat)) * cos(radians(a.lon - b.lon)), -1), 1))) * 60 * 1.1515 * 1.609344"
@@ -322,7 +322,7 @@ def path_entities(spark, d):
 
 
 def frequent_paths(spark, d):
-    return pa.frequent_paths(place_triples(spark, d), backward=0).select("path", F.round("frequency", 6).alias("frequency"))
+    return pa.frequent_paths(place_triples(spark, d)).select("path", "direction", F.round("frequency", 6).alias("frequency"))
 
 
 def frequent_paths_sample(spark, d):
@@ -347,7 +347,9 @@ SQL |= {
         SELECT t.uri, coalesce((SELECT string_agg(DISTINCT x, '|' ORDER BY x) FROM {PLACE} l WHERE l.uri = t.uri AND l.p = 'rdfs:label'), '') AS labels,
                coalesce((SELECT string_agg(DISTINCT x, '|' ORDER BY x) FROM {PLACE} l WHERE l.uri = t.uri AND l.p = 'ogz:founded'), '') AS founded
         FROM (SELECT DISTINCT uri FROM {PLACE} WHERE p = 'rdf:type' AND x = 'ogz:Museum') t""",
-    "frequent_paths": f"SELECT p AS path, round(count(*) / max(count(*)) OVER (), 6) AS frequency FROM {PLACE} GROUP BY p",
+    "frequent_paths": f"""
+        WITH n AS (SELECT p, count(*) AS n FROM {PLACE} GROUP BY p), k AS (SELECT *, row_number() OVER (ORDER BY n DESC, p) AS k, max(n) OVER () AS m FROM n)
+        SELECT p AS path, d AS direction, round(n / m, 6) AS frequency FROM k, (VALUES ('forward', 100), ('backward', 10)) t(d, most) WHERE k <= most""",
     "frequent_restrictions": f"""
         WITH n AS (SELECT count(DISTINCT uri) AS n FROM {PLACE}), m AS (SELECT p, count(DISTINCT uri) AS m FROM {PLACE} GROUP BY p),
         o AS (SELECT p, x, count(DISTINCT uri) AS c FROM {PLACE} GROUP BY ALL)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from linkweave.cluster import checked_broadcast
 from linkweave.registry import lookup
 from linkweave.values import Values
 
@@ -52,6 +53,13 @@ def _logarithm(spark, d):
     return _t(spark, d, "part").select("p_partkey", F.round(out.cast("double"), 6).alias("result"))
 
 
+def _convert_charset(spark, d):
+    """Every text of value_set, read as if its bytes in ISO-8859-1 were UTF-8."""
+    f = lookup("transformer", "convertCharset")(sourceCharset="ISO-8859-1", targetCharset="UTF-8")
+    rows = _t(spark, d, "input_values").select("value_id", F.posexplode("value_set").alias("at", "v")).where("v is not null")
+    return rows.select("value_id", "at", f([Values(F.col("v"), False)]).col.alias("result"))
+
+
 QUERIES = {
     "tr_replace": _tr("replace", "part", "p_partkey", "p_name", search=" ", replace="_"),
     "tr_regex_replace": _tr("regexReplace", "part", "p_partkey", "p_name", regex="([aeiou])[a-z]", replace="<$1>"),
@@ -70,7 +78,7 @@ QUERIES = {
     "tr_remove_empty": _sets("removeEmptyValues"),
     "tr_tokenize": _sets("tokenize", regex=r"\s"),
     "tr_stem": _tr("stem", "part", "p_partkey", "p_name"),
-    "tr_convert_charset": _tr("convertCharset", "input_values", "value_id", "prop_path", sourceCharset="ISO-8859-1", targetCharset="UTF-8"),
+    "tr_convert_charset": _convert_charset,
 }
 
 SQL = {
@@ -103,7 +111,7 @@ PAIRS = f"FROM ({NAMES}) x, (SELECT DISTINCT p_name AS b FROM part) y"
 def _m(metric, limit=4.0, **params):
     def run(spark, d):
         a = _t(spark, d, "part").select(F.col("p_name").alias("a")).distinct()
-        pairs = a.crossJoin(F.broadcast(a.withColumnRenamed("a", "b")))  # the distinct names are a few dozen
+        pairs = a.crossJoin(checked_broadcast(a.withColumnRenamed("a", "b"), 10_000))  # the distinct names are a few dozen
         dist = lookup("metric", metric)(**params).distance(Values(F.col("a"), False), Values(F.col("b"), False), limit, float("inf"))
         return pairs.select("a", "b", F.round(F.when(dist != float("inf"), dist), 6).alias("distance"))
 
@@ -115,7 +123,7 @@ def _words(metric):
 
     def run(spark, d):
         a = _t(spark, d, "part").select(F.col("p_name").alias("a")).distinct()
-        pairs = a.crossJoin(F.broadcast(a.withColumnRenamed("a", "b")))
+        pairs = a.crossJoin(checked_broadcast(a.withColumnRenamed("a", "b"), 10_000))
         split = lookup("transformer", "tokenize")()
         side = lambda c: split([Values(F.col(c), False)])
         return pairs.select("a", "b", F.round(lookup("metric", metric)().distance(side("a"), side("b"), 1.0, 1.0), 6).alias("distance"))

@@ -16,16 +16,29 @@ LINE = rf"^\s*{_NODE}\s*{_IRI}\s*(?:{_NODE}|{_LITERAL})\s*{_NODE}?\s*\.\s*(?:#.*
 
 
 def _unescaped(c: Column) -> Column:
-    """Text with its escapes undone. A \\u escape is read by the JSON reader, which has the same ones."""
-    fixed = F.regexp_replace(F.regexp_replace(c, r"\\U0000([0-9A-Fa-f]{4})", r"\\u$1"), r"\\'", "'")
+    """Text with its escapes undone. A \\u escape is read by the JSON reader, which has the same ones; a \\U escape becomes one or two."""
+    hexed = lambda n: F.lpad(F.hex(n), 4, "0")
+
+    def short(text: Column, digits: Column) -> Column:
+        v = F.conv(digits, 16, 10).cast("bigint") - 65536
+        pair = F.concat(F.lit("\\u"), hexed(F.lit(0xD800) + F.shiftright(v, 10)), F.lit("\\u"), hexed(F.lit(0xDC00) + v.bitwiseAND(F.lit(1023))))
+        return F.replace(text, F.concat(F.lit("\\U"), digits), F.when(v < 0, F.concat(F.lit("\\u"), F.substring(digits, 5, 4))).otherwise(pair))
+
+    long = F.array_distinct(F.regexp_extract_all(c, F.lit(r"\\U([0-9A-Fa-f]{8})"), 1))
+    fixed = F.regexp_replace(F.when(F.contains(c, F.lit("\\U")), F.aggregate(long, c, short)).otherwise(c), r"\\'", "'")
     parsed = F.from_json(F.concat(F.lit('{"v":"'), fixed, F.lit('"}')), "v string")["v"]
     return F.when(F.contains(c, F.lit("\\")), F.coalesce(parsed, c)).otherwise(c)
 
 
-def parse_lines(lines: DataFrame, column: str = "value") -> DataFrame:
-    """Triples of lines in N-Triples or N-Quads; other lines are left out."""
+def parse_lines(lines: DataFrame, column: str = "value", on_error: str = "fail") -> DataFrame:
+    """Triples of lines in N-Triples or N-Quads. Empty lines and comments are left out; another line that can't be read fails the
+    job, or with on_error='skip' is left out too."""
     part = lambda k: F.regexp_extract(column, LINE, k)
-    good = lines.where(F.col(column).rlike(LINE))
+    readable = F.col(column).rlike(LINE)
+    if on_error == "fail":
+        wrong = F.raise_error(F.concat(F.lit("no N-Triples line: "), F.substring(column, 1, 200))).cast("boolean")
+        readable = F.when(readable, True).when(F.col(column).rlike(r"^\s*(#.*)?$"), False).otherwise(wrong)
+    good = lines.where(readable)
     node = lambda c: F.when(F.startswith(c, F.lit("<")), F.substring(c, 2, 2**31 - 1).substr(F.lit(1), F.length(c) - 2)).otherwise(c)
     kind = lambda c: F.when(F.startswith(c, F.lit("_:")), F.lit("blank")).otherwise(F.lit("resource"))
     is_node = part(3) != ""
@@ -41,9 +54,9 @@ def parse_lines(lines: DataFrame, column: str = "value") -> DataFrame:
     )
 
 
-def read_ntriples(spark: SparkSession, path: str) -> DataFrame:
+def read_ntriples(spark: SparkSession, path: str, on_error: str = "fail") -> DataFrame:
     """Triples of a file or folder of N-Triples or N-Quads: read in splits, line by line."""
-    return parse_lines(spark.read.text(path))
+    return parse_lines(spark.read.text(path), on_error=on_error)
 
 
 _TTL = re.compile(r"""\s+|\#[^\n]*|(<[^>\s]*>)|(\"\"\"(?:[^"\\]|\\.|"(?!""))*\"\"\"|"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*')(?:@([A-Za-z0-9-]+)|\^\^(<[^>]*>|[^\s;,.\]]+))?|(@prefix|@base|PREFIX|BASE)|([\[\](){};,.])(?![0-9])|(_:[\w-]+|[\w.-]*:[\w%.-]*[\w%-]|[\w.-]*:|\ba\b|[+-]?[0-9.]+(?:[eE][+-]?[0-9]+)?|true|false)""", re.X)
@@ -204,11 +217,11 @@ def _kind(format: str) -> str:
     return _FORMATS[format.upper()]
 
 
-def inline_rdf(spark: SparkSession, text: str, format: str) -> DataFrame:
+def inline_rdf(spark: SparkSession, text: str, format: str, on_error: str = "fail") -> DataFrame:
     """Triples of a text in the configuration itself."""
     kind = _kind(format)
     if kind == "nt":
-        return parse_lines(spark.createDataFrame([(x,) for x in text.splitlines()], "value string"))
+        return parse_lines(spark.createDataFrame([(x,) for x in text.splitlines()], "value string"), on_error=on_error)
     return spark.createDataFrame(parse_turtle(text) if kind == "ttl" else parse_rdf_xml(text), TRIPLE_SCHEMA)
 
 
@@ -218,13 +231,13 @@ def rdf_source(input: str, format: str):
 
 
 @register("source", "file", "RDF file")
-def file_source(file: str, format: str = "N-TRIPLE"):
-    """N-Triples are read in splits. Turtle and RDF/XML files are documents, each read whole by one task."""
+def file_source(file: str, format: str = "N-TRIPLE", onError: str = "fail"):  # noqa: N803
+    """N-Triples are read in splits; a line that can't be read fails the job unless onError is 'skip'. Turtle and RDF/XML files are documents, each read whole by one task."""
     kind = _kind(format)
 
     def read(spark: SparkSession) -> DataFrame:
         if kind == "nt":
-            return read_ntriples(spark, file)
+            return read_ntriples(spark, file, onError)
         parse = parse_turtle if kind == "ttl" else parse_rdf_xml
 
         def rows(batches):

@@ -31,6 +31,7 @@ def alignment_cells(links: DataFrame, link_type: str = SAME_AS) -> DataFrame:
     return links.select(cell.alias("line"))
 
 
+# Head and foot of an Alignment document, whose format is public.
 HEADER = ['<?xml version="1.0" encoding="utf-8" standalone="no"?>', '<rdf:RDF xmlns="http://knowledgeweb.semanticweb.org/heterogeneity/alignment#" xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns:xsd="http://www.w3.org/2001/XMLSchema#">', "<Alignment>"]
 FOOTER = ["</Alignment>", "</rdf:RDF>"]
 FORMATS = {"ntriples": ntriples, "alignment": alignment_cells}

@@ -43,10 +43,12 @@ def test_turtle(spark):
 def test_ntriples_file_and_inline(spark, tmp_path):
     text = '<http://e/s> <http://e/p> "a \\"b\\" \\u00e9\\n"@en .\n# no triple\n_:b <http://e/p> <http://e/o> <http://e/g> .\n<http://e/s> <http://e/p> "1"^^<http://e/int> .\nbroken line\n'
     (tmp_path / "x.nt").write_text(text, encoding="utf-8")
-    got = lookup("source", "file")(file=str(tmp_path / "x.nt"), format="N-TRIPLE")(spark)
+    with pytest.raises(Exception, match="no N-Triples line: broken line"):
+        lookup("source", "file")(file=str(tmp_path / "x.nt"), format="N-TRIPLE")(spark).collect()
+    got = lookup("source", "file")(file=str(tmp_path / "x.nt"), format="N-TRIPLE", onError="skip")(spark)
     assert values(got.select("s", "s_kind", "o", "o_kind", "o_lang", "o_datatype", "g")) == [
         ("_:b", "blank", "http://e/o", "resource", "", "", "http://e/g"), ("http://e/s", "resource", "1", "literal", "", "http://e/int", ""), ("http://e/s", "resource", 'a "b" é\n', "literal", "en", "", "")]
-    assert values(readers.inline_rdf(spark, text, "N-TRIPLE")) == values(got)
+    assert values(readers.inline_rdf(spark, text, "N-TRIPLE", "skip")) == values(got)
     with pytest.raises(ValueError):
         readers.inline_rdf(spark, text, "CSV")
 
