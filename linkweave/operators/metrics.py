@@ -248,7 +248,9 @@ class PythonMetric(Metric):
 
         @F.pandas_udf("double")
         def many(x: pd.Series, y: pd.Series) -> pd.Series:
-            return pd.Series([min((f(p, q) for p in ps for q in qs), default=None) for ps, qs in zip(x, y, strict=True)], dtype="Float64")
+            known: dict = {}
+            of = lambda p, q: known[p, q] if (p, q) in known else known.setdefault((p, q), f(p, q))
+            return pd.Series([min((of(p, q) for p in ps for q in qs), default=None) for ps, qs in zip(x, y, strict=True)], dtype="Float64")
 
         return one(a.col, b.col) if not a.many and not b.many else many(a.as_array(), b.as_array())
 

@@ -206,6 +206,29 @@ SQL |= {
 }
 
 
+def _common(a, b):
+    """SQL of the letters of a that b has near the same place, each letter of b used once: a fold over the letters of a."""
+    w = f"CAST(ceil(least(length({a}), length({b})) / 2.0) AS BIGINT)"
+    first = f"[{{'rest': {b}, 'out': '', 'c': '', 'i': 0::BIGINT}}]"
+    letters = f"list_transform(range(1, length({a}) + 1), lambda i: {{'rest': '', 'out': '', 'c': substr({a}, i, 1), 'i': i}})"
+    low, high = f"greatest(1, x.i - {w})", f"least(x.i + {w}, length({b}))"
+    at = f"CASE WHEN {high} >= {low} THEN strpos(substr(acc.rest, {low}, {high} - {low} + 1), x.c) ELSE 0 END"
+    used = f"{low} + {at} - 1"
+    step = f"CASE WHEN {at} = 0 THEN {{'rest': acc.rest, 'out': acc.out, 'c': '', 'i': 0::BIGINT}} ELSE {{'rest': substr(acc.rest, 1, {used} - 1) || chr(1) || substr(acc.rest, {used} + 1), 'out': acc.out || x.c, 'c': '', 'i': 0::BIGINT}} END"
+    return f"(list_reduce(list_concat({first}, {letters}), lambda acc, x: {step})).out"
+
+
+JARO = f"""
+    SELECT a, b, CASE WHEN one = '' OR two = '' THEN 1.0 ELSE 1 - (length(one) / length(a) + length(two) / length(b)
+        + (length(one) - len(list_filter(range(1, least(length(one), length(two)) + 1), lambda k: substr(one, k, 1) <> substr(two, k, 1))) // 2) / length(one)) / 3 END AS d
+    FROM (SELECT a, b, {_common("a", "b")} AS one, {_common("b", "a")} AS two {PAIRS})"""
+SQL |= {
+    "m_jaro": f"SELECT a, b, round(d, 6) AS distance FROM ({JARO})",
+    "m_jaro_winkler": f"""
+        SELECT a, b, round(d - 0.1 * d * CASE WHEN a[:4] = b[:4] THEN least(4, length(a), length(b)) WHEN a[:3] = b[:3] THEN 3 WHEN a[:2] = b[:2] THEN 2 WHEN a[:1] = b[:1] THEN 1 ELSE 0 END, 6) AS distance
+        FROM ({JARO})""",
+}
+
 def _agg(function, weights=(1, 1), missing=False, **params):
     """An aggregator over two confidences made of the customers' balance and number; null where the second is missing."""
 

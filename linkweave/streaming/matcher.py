@@ -52,6 +52,24 @@ class StreamMatcher:
             return known
         return Entities(known.df.unionByName(more.select(*known.df.columns)).dropDuplicates(["uri"]), known.columns)
 
+    def compact(self, before: int) -> None:
+        """Makes one directory of the entities that the batches before one added, so state is read from few files.
+
+        The new directory stands beside the old ones until those are deleted, and targets() counts a uri once, so a run that stops
+        half-way loses and doubles nothing. Only batches that won't be run again belong before the one given."""
+        sc = self.spark.sparkContext
+        for rule in self.rules:
+            rows = self._read(f"added/{rule.id}", before)
+            if rows is None:
+                continue
+            root, new = f"{self.folder}/added/{rule.id}", f"batch={-before}"
+            old = {f"batch={r['batch']}" for r in rows.select("batch").distinct().collect()} - {new}  # one row per batch
+            rows.drop("batch").dropDuplicates(["uri"]).write.mode("overwrite").parquet(f"{self.folder}/compacted/{rule.id}")
+            self.spark.read.parquet(f"{self.folder}/compacted/{rule.id}").write.mode("overwrite").parquet(f"{root}/{new}")
+            for name in (*(f"{root}/{x}" for x in old), f"{self.folder}/compacted/{rule.id}"):
+                path = sc._jvm.org.apache.hadoop.fs.Path(name)
+                path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
     def match(self, batch: DataFrame, batch_id: int) -> None:
         """One batch: the function for foreachBatch."""
         batch = batch.persist()

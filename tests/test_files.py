@@ -82,3 +82,21 @@ def test_reference_entities_are_cached(spark, tmp_path):
     source, target = ev.cache_reference_entities(a, b, pairs, f"file://{tmp_path}")
     assert [r["uri"] for r in source.df.collect()] == ["a1"] and [r["uri"] for r in target.df.collect()] == ["b2"]
     assert source.columns == a.columns
+
+
+def test_stream_state_is_compacted(spark, tmp_path):
+    from linkweave.plans.rules import Compare, Dataset, LinkRule, PathInput
+    from linkweave.streaming.matcher import StreamMatcher
+
+    rule = LinkRule("r", Dataset("left", "a"), Dataset("right", "b"), Compare("equality", PathInput("?a/v"), PathInput("?b/v"), 0.5))
+    known = table_entities(spark.createDataFrame([("k", "x")], "u string, v string"), "u", {"?b/v": "v"})
+    m = StreamMatcher(spark, [rule], {"r": known}, None, None, f"file://{tmp_path}")
+    for batch, uris in ((0, "ab"), (1, "bc"), (2, "d"), (3, "e")):
+        rows = spark.createDataFrame([(u, u.upper()) for u in uris], "uri string, v string").withColumnRenamed("v", known.columns["?b/v"])
+        rows.write.parquet(f"file://{tmp_path}/added/r/batch={batch}")
+    state = lambda before=None: sorted(r["uri"] for r in m.targets(rule, before).df.collect())
+    assert state() == list("abcdek") and state(3) == list("abcdk")
+    m.compact(2)
+    assert state() == list("abcdek") and state(2) == list("abck") and sorted(p.name for p in (tmp_path / "added/r").glob("batch*")) == ["batch=-2", "batch=2", "batch=3"]
+    m.compact(4)
+    assert state() == list("abcdek") and [p.name for p in (tmp_path / "added/r").glob("batch*")] == ["batch=-4"]
