@@ -12,7 +12,6 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,12 +39,14 @@ WRITTEN_IN = ("cp1251", "koi8_r", "cp866", "iso8859_5", "cp1253", "iso8859_7", "
 UTF8_COST, OTHER_COST = 1, 3
 #: A text must get this many bytes shorter, steps included, to count as garbled.
 MARGIN = 1
-#: About this many distinct texts of each language, picked by hash, train its dictionary; longer ones count in parts of PART
-#: characters, so what comes to the driver stays below SAMPLE_TEXTS x PART characters for each language.
-SAMPLE_TEXTS, PART = 3000, 1024
+#: Texts that train a dictionary at once, about; of a language with more, each such group trains one, and what these hold trains on.
+#: Texts longer than PART characters count in parts, each for itself, so a task holds AT_ONCE x PART characters or about.
+AT_ONCE, PART = 20_000, 1024
 #: Counters of three-letter groups.
 SLOTS = 1 << 16
 DICTIONARY_BYTES, LEVEL = 16384, 6
+#: A trained dictionary's tables end before this byte; behind them stand pieces of texts.
+TABLES_END = 256
 
 _UTF8 = re.compile(rb"(?:[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3})+")
 #: A question mark or replacement character that stands for a letter: before one, or twice in a row beside one.
@@ -343,45 +344,82 @@ def text_statistics(texts: DataFrame, column: str) -> tuple[dict[str, int], dict
     return languages, {k: "".join(sorted(v)) for k, v in letters.items()}, slots
 
 
-def sample_texts(texts: DataFrame, column: str, languages: dict[str, int], sample: int) -> list[str]:
-    """About ``sample`` texts of each language, or all where there are fewer: those whose hash is below the share."""
+class Trains:
+    """Whether a text trains its language's dictionary.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = [t for t in b.column(0).to_pylist() if (name := language_of(t)) in languages and xxhash.xxh3_64_intdigest(t) * languages[name] < sample << 64]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["t"])
+    Texts with letters of no language, or with lost letters, don't. Nor does a text that another charset turns into one whose
+    three-letter groups are at least twice as common among all texts: it is likely garbled itself."""
 
-    return [r["t"] for r in texts.select(column).mapInArrow(run, "t string").collect()]
+    def __init__(self, slots: np.ndarray):
+        self.steps, self.common = Steps(_alphabets_of, len(ALPHABETS) + len(SCRIPTS)), np.log1p(slots)
 
+    def usual(self, text: str) -> float:
+        return float(self.common[_group_slots(text)].mean())
 
-def train_dictionaries(texts: list[str], letters: dict[str, str], slots: np.ndarray) -> dict[str, tuple[bytes, str]]:
-    """A dictionary per language with enough texts, beside the letters seen; small samples serve as a dictionary themselves.
+    def language(self, text: str) -> str | None:
+        """The text's language if it trains."""
+        name = language_of(text)
+        if name is None or LOST.search(text):
+            return None
+        if name != "plain":
+            least = None
+            for c in self.steps.tried(text):
+                if language_of(c) is not None:
+                    least = self.usual(text) + math.log(2) if least is None else least
+                    if self.usual(c) >= least:
+                        return None
+        return name
 
-    Texts with letters of no language, or with lost letters, don't train. Nor does a text that another charset turns
-    into one whose three-letter groups are at least twice as common among all texts: it is likely garbled itself.
-    """
+
+def _dictionary(texts: list[str], size: int) -> tuple[bytes, bool]:
+    """The dictionary trained on texts of a language, and True; where they are too few, themselves."""
     import zstandard as z
 
-    steps, common = Steps(_alphabets_of, len(ALPHABETS) + len(SCRIPTS)), np.log1p(slots)
-    usual = lambda t: float(common[_group_slots(t)].mean())
-    groups: dict[str, list[bytes]] = {}
-    for t in sorted(texts):
-        name = language_of(t)
-        if name is None or LOST.search(t):
-            continue
-        if name != "plain":
-            least = usual(t) + math.log(2)
-            if any(language_of(c) is not None and usual(c) >= least for c in steps.tried(t)):
-                continue
-        groups.setdefault(name, []).append(t.encode() + b"\n")
-    out = {}
-    for name, samples in groups.items():
-        try:
-            data = z.train_dictionary(DICTIONARY_BYTES, samples, level=LEVEL).as_bytes()
-        except z.ZstdError:
-            data = b"".join(samples)[-DICTIONARY_BYTES:]
-        out[name] = (data, letters.get(name, ""))
-    return out
+    samples = [t.encode() + b"\n" for t in sorted(texts)]
+    try:
+        return z.train_dictionary(size, samples, level=LEVEL).as_bytes(), True
+    except z.ZstdError:
+        return b"".join(samples)[-size:], False
+
+
+def train_dictionaries(texts: list[str], letters: dict[str, str], slots: np.ndarray) -> dict[str, tuple[bytes, str]]:
+    """A dictionary per language with enough texts, beside the letters seen; few texts serve as a dictionary themselves."""
+    trains, groups = Trains(slots), {}
+    for t in texts:
+        if (name := trains.language(t)) is not None:
+            groups.setdefault(name, []).append(t)
+    return {name: (_dictionary(of, DICTIONARY_BYTES)[0], letters.get(name, "")) for name, of in groups.items()}
+
+
+def dictionaries_of_all(texts: DataFrame, column: str, letters: dict[str, str], slots: np.ndarray, scratch: Scratch) -> dict[str, tuple[bytes, str]]:
+    """train_dictionaries() of all texts, trained in tasks.
+
+    A language of at most AT_ONCE texts is trained on them in one go. The texts of others fall into groups of about that many by
+    hash, each group trains a dictionary on all its texts, and the pieces that the groups' dictionaries hold are the texts of the
+    next round, which are fewer than half as many. Only the last dictionaries come to the driver."""
+    size = DICTIONARY_BYTES
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trains = Trains(slots)
+        for b in batches:
+            of = [(name, t) for t in b.column(0).to_pylist() if (name := trains.language(t)) is not None]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in of], pa.string()) for k in (0, 1)], names=["name", "t"])
+
+    def condensed(key: tuple, group: pa.Table) -> pa.Table:
+        data, trained = _dictionary(group.column("t").to_pylist(), size)
+        pieces = [t for t in data[TABLES_END if trained else 0 :].decode(errors="ignore").split("\n") if t]
+        return pa.table({"name": pa.array([key[0].as_py()] * len(pieces), pa.string()), "t": pa.array(pieces, pa.string())})
+
+    def last(key: tuple, group: pa.Table) -> pa.Table:
+        data, _ = _dictionary(group.column("t").to_pylist(), size)
+        return pa.table({"name": pa.array([key[0].as_py()], pa.string()), "data": pa.array([data], pa.binary())})
+
+    rows = scratch.cut(texts.select(column).mapInArrow(run, "name string, t string"))
+    while many := {r["name"]: -(-r["count"] // AT_ONCE) for r in rows.groupBy("name").count().collect() if r["count"] > AT_ONCE}:
+        groups = F.create_map(*[F.lit(x) for k, n in many.items() for x in (k, n)])
+        parted = rows.where(F.col("name").isin(*many)).withColumn("part", F.pmod(F.xxhash64("t"), F.element_at(groups, F.col("name"))))
+        rows = scratch.cut(rows.where(~F.col("name").isin(*many)).unionByName(parted.groupBy("name", "part").applyInArrow(condensed, "name string, t string")))
+    return {r["name"]: (r["data"], letters.get(r["name"], "")) for r in rows.groupBy("name").applyInArrow(last, "name string, data binary").collect()}
 
 
 class Repairer:
@@ -449,12 +487,11 @@ def lost_endings(texts: DataFrame, distinct: DataFrame, column: str) -> DataFram
     return ends.join(stems, "stem", "left_semi").select("value_id", "text").distinct().withColumn("restored", none).withColumn("chain", F.lit("lost"))
 
 
-def garbled_values(values: DataFrame, sample: int = SAMPLE_TEXTS) -> DataFrame:
+def garbled_values(values: DataFrame) -> DataFrame:
     """(value_id, text, restored, chain) of the garbled texts of input_values, each text of a row once.
 
-    Letters and three-letter groups are counted over all distinct texts; a dictionary for each language is trained on about
-    ``sample`` of its texts, picked by hash, of which those longer than PART characters count in parts, each for itself. Every
-    text is then tried against every candidate decoding, whatever source_charset says. Null or empty value_set, null and ''
+    Letters and three-letter groups are counted over all distinct texts, and a dictionary for each language is trained on all of
+    its texts, of which those longer than PART characters count in parts, each for itself. Every text is then tried against every candidate decoding, whatever source_charset says. Null or empty value_set, null and ''
     values give nothing; rows logged twice each give their rows; an empty table gives none.
     """
     scratch = Scratch(values.sparkSession, "charsets")
@@ -462,6 +499,6 @@ def garbled_values(values: DataFrame, sample: int = SAMPLE_TEXTS) -> DataFrame:
     starts = F.sequence(F.lit(1), F.length("text"), F.lit(PART))
     parts = F.when(F.length("text") <= PART, F.array("text")).otherwise(F.transform(starts, lambda k: F.substring("text", k, F.lit(PART))))
     distinct = scratch.cut(texts.select(F.explode(parts).alias("t")).distinct())
-    languages, letters, slots = text_statistics(distinct, "t")
-    found = scratch.cut(repair_texts(texts, "text", train_dictionaries(sample_texts(distinct, "t", languages, sample), letters, slots)))
+    _, letters, slots = text_statistics(distinct, "t")
+    found = scratch.cut(repair_texts(texts, "text", dictionaries_of_all(distinct, "t", letters, slots, scratch)))
     return found.unionByName(lost_endings(texts, distinct, "t").join(found.select("value_id", "text"), ["value_id", "text"], "left_anti"))

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from linkweave.cluster import Scratch
 from linkweave.llm import charsets, leakage, lookalike, mixing, splitting, tokens
 from linkweave.llm.tokens import encode
 
@@ -105,6 +106,24 @@ def test_garbled_values(spark):
     assert charsets.garbled_values(df.limit(0)).count() == 0
 
 
+def test_dictionaries_train_on_all_texts(spark, monkeypatch):
+    rng = random.Random(6)
+    parts = ["żół", "świ", "gór", "łąk", "wie", "pię", "krń", "mos", "dąb", "rze"]
+    texts = list({" ".join("".join(rng.choice(parts) for _ in range(3)) for _ in range(2)) for _ in range(6000)}) + ["red brick hall", "see note", "S?o"]
+    df, scratch = spark.createDataFrame([(t,) for t in texts], "t string"), Scratch(spark, "test")
+    _, letters, slots = charsets.text_statistics(df, "t")
+    trained = charsets.dictionaries_of_all(df, "t", letters, slots, scratch)
+    assert trained == charsets.train_dictionaries(texts, letters, slots) and set(trained) == {"polish", "plain"}
+    # in several rounds of small groups, every text counts still
+    monkeypatch.setattr(charsets, "AT_ONCE", 700)
+    monkeypatch.setattr(charsets, "DICTIONARY_BYTES", 4096)
+    data, known = charsets.dictionaries_of_all(df, "t", letters, slots, scratch)["polish"]
+    assert len(data) <= 4096 and known == trained["polish"][1] and all(p.encode() in data for p in parts)
+    fix = charsets.Repairer({"polish": (data, known)})
+    for t in texts[:200]:
+        assert fix.repair(t) is None and fix.repair(t.encode().decode("latin-1"))[0] == t
+
+
 def test_long_text_is_tried_whole():
     fix = repairer()
     long = "Forêt Noëve " * 3000
