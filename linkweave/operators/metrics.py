@@ -25,6 +25,12 @@ Keys = tuple[Callable[[Column], Column], Callable[[Column], Column]]
 class Metric:
     #: How selective the keys are, for choosing among several; less is better.
     rank = 9
+    #: Whether two single values share one key at most.
+    meets_once = False
+
+    def keys_each(self, radius: float) -> int:
+        """About how many keys a value has."""
+        return 10
 
     def prepare(self, s: Column) -> Column:
         """What the measure needs of a text; it is made once per entity, not per pair."""
@@ -35,6 +41,14 @@ class Metric:
             return v
         return Values(F.transform(v.as_array(), self.prepare), True, True) if v.many else Values(self.prepare(v.col), False, True)
 
+    def sketch(self, s: Column) -> Column | None:
+        """A number made of a text, once per entity, that shows for most pairs that they are far apart; None if there is none."""
+        return None
+
+    def near(self, x: Column, y: Column, radius: float) -> Column:
+        """Of two sketches: whether the texts can be within the radius."""
+        raise NotImplementedError
+
     def distance(self, a: Values, b: Values, limit: float, worst: float) -> Column:
         """The smallest distance of any two values. From ``worst`` on, the caller doesn't care how far."""
         a, b = self.prepared(a), self.prepared(b)
@@ -155,6 +169,20 @@ class Levenshtein(Metric):
 
     rank = 5
 
+    def keys_each(self, radius):
+        return {0: 1, 1: 10, 2: 46, 3: 130}.get(math.floor(radius), 200)
+
+    def sketch(self, s):
+        """How often letters of 16 kinds occur, up to 4 times, each count as so many bits."""
+        letters = F.split(s, "")
+        kind = lambda c: F.least(F.size(F.filter(letters, lambda x: (F.length(x) > 0) & (F.ascii(x) % 16 == c))), F.lit(4))
+        bits = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda c: F.element_at(F.array(*[F.lit(2**n - 1).cast("long") for n in range(5)]), kind(c) + 1))
+        return F.when(s.isNotNull(), F.aggregate(bits, F.lit(0).cast("long"), lambda all, b: F.shiftleft(all, 4).bitwiseOR(b)))
+
+    def near(self, x, y, radius):
+        # an edit takes one letter away, adds one, or does both
+        return F.bit_count(x.bitwiseXOR(y)) <= 2 * math.floor(radius)
+
     def of(self, x, y, limit, worst):
         gate = F.abs(F.length(x) - F.length(y)) >= limit
         if math.isfinite(worst) and worst < 2**30:
@@ -290,6 +318,10 @@ def _itself(s: Column) -> Column:
 
 class Equality(Metric):
     rank = 0
+    meets_once = True
+
+    def keys_each(self, radius):
+        return 1
 
     def of(self, x, y, limit, worst):
         return F.when(x == y, F.lit(0.0)).otherwise(F.lit(1.0))
@@ -307,8 +339,13 @@ class _Number(Metric):
     """A measure of the difference of two numbers read from the texts."""
 
     rank = 2
+    #: The source's bins are three, the target's is one.
+    meets_once = True
     unit = 1.0
 
+    def keys_each(self, radius):
+        return 2
+
     def number(self, s: Column) -> Column:
         raise NotImplementedError
 
@@ -387,6 +424,8 @@ class Wgs84(Metric):
     """Distance on a sphere of two points, 'lat lon' or 'POINT(lon lat)', in kilometres or metres."""
 
     rank = 1
+    #: A target's point is in one cell.
+    meets_once = True
 
     def __init__(self, unit: str, scale: float):
         self.unit, self.scale = (1.0 if unit in ("km", "kilometer") else 1000.0), scale
@@ -451,6 +490,10 @@ class Wgs84(Metric):
         return source, target
 
 
+#: So many of the most frequent elements are told apart when sets are blocked by their rarest ones.
+FREQUENT = 256
+
+
 class _Sets(Metric):
     """A measure of two sets as wholes."""
 
@@ -463,17 +506,54 @@ class _Sets(Metric):
     def keys(self, radius, limit):
         return (_itself, _itself) if radius < 1 else None
 
+    def shared(self, near: float) -> tuple[float, float]:
+        """For sets at least so near: the elements they share as a part of the sizes' sum, and the least size as a part of the other."""
+        raise NotImplementedError
+
+    def rarest_keys(self, a: Values, b: Values, radius: float, frequent: list[str]) -> tuple[Column, Column] | None:
+        """Keys by both sizes and an element, of the elements that are rare. frequent: the most frequent ones, rarest first.
+
+        If of n and m elements at least k must be shared, one is among the first n - k + 1 of the one set and the first m - k + 1 of the other, in any order
+        that holds for both; here the rare come first."""
+        if not radius < 1:
+            return None
+        part, least = self.shared(1.0 - radius)
+        place = F.create_map(*[x for k, e in enumerate(frequent) for x in (F.lit(e), F.lit(k + 1))]) if frequent else None
+
+        def side(v: Values, source: bool) -> Column:
+            entry = lambda e: F.struct((F.lit(0) if place is None else F.coalesce(F.try_element_at(place, e), F.lit(0))).alias("k"), e.alias("e"))
+            ordered = F.array_sort(F.transform(F.array_distinct(v.as_array()), entry))
+            n = F.size(ordered)
+            others = F.sequence(F.greatest(F.ceil(n * least - 1e-9), F.lit(1)).cast("int"), F.floor(n / F.lit(least) + 1e-9).cast("int"))
+
+            def of_size(x: Column, m: Column) -> Column:
+                first = F.size(x) - F.ceil((F.size(x) + m) * part - 1e-9).cast("int") + 1
+                sizes = (F.size(x), m) if source else (m, F.size(x))
+                return F.transform(F.slice(x, 1, F.greatest(F.least(first, F.size(x)), F.lit(0))), lambda y: _text(*sizes, y["e"]))
+
+            # a fold over one array, so that it is put in order once
+            found = F.flatten(F.transform(F.array(ordered), lambda x: F.flatten(F.transform(others, lambda m: of_size(x, m)))))
+            return F.when(n > 0, found).otherwise(F.array().cast("array<string>"))
+
+        return side(a, True), side(b, False)
+
 
 class Jaccard(_Sets):
     def of_sets(self, shared, x, y):
         union = x + y - shared
         return F.when(union == 0, F.lit(float("nan"))).otherwise(1.0 - shared / F.when(union == 0, 1).otherwise(union))
 
+    def shared(self, near):
+        return near / (1 + near), near
+
 
 class Dice(_Sets):
     def of_sets(self, shared, x, y):
         return F.when(x + y == 0, F.lit(float("nan"))).otherwise(1.0 - F.lit(2.0) * shared / F.when(x + y == 0, 1).otherwise(x + y))
 
+    def shared(self, near):
+        return near / 2, near / (2 - near)
+
 
 def _scale(given: float) -> float:
     return 1.0 if math.isnan(given) else given

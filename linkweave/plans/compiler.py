@@ -4,15 +4,18 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linkweave.plans.rules import Aggregate, Compare, Input, LinkRule, Operator, PathInput, TransformInput, variable_of
+from linkweave.plans.rules import Aggregate, Compare, Input, LinkRule, Operator, PathInput, TransformInput, paths_of, variable_of
 from linkweave.registry import lookup
 from linkweave.values import Values
 
 NAN = float("nan")
+#: Added to radii of confidences that are no whole numbers, so that rounding loses no pair.
+MARGIN = 1e-9
 
 
 @dataclass(frozen=True)
@@ -23,6 +26,21 @@ class Entity:
     values: dict[str, Values]
 
 
+class Keys(NamedTuple):
+    """Arrays of keys of a source and a target entity, by which pairs meet."""
+
+    #: How selective they are; less is better.
+    rank: int
+    source: Column
+    target: Column
+    #: Whether a pair shares one key at most.
+    once: bool = False
+    #: About how many keys an entity has.
+    many: int = 1
+    #: Fewer, less selective keys of the same pairs.
+    coarse: Keys | None = None
+
+
 class Compiler:
     def __init__(self, rule: LinkRule, source: Entity, target: Entity):
         self.rule, self.sides = rule, (source, target)
@@ -51,6 +69,8 @@ class Compiler:
             made = metric.prepared(raw)
             if made.prepared and self._known(i, node.metric) is None:
                 self.ready.append((i, node.metric, self._column(side, made)))
+            if not raw.many and self._known(i, f"{node.metric} sketch") is None and (sketch := metric.sketch(raw.col)) is not None:
+                self.ready.append((i, f"{node.metric} sketch", self._column(side, Values(sketch, False, True))))
 
     def _column(self, side: int, v: Values) -> Values:
         name = f"{'st'[side]}_i{len(self.columns[side])}"
@@ -142,32 +162,79 @@ class Compiler:
             visit(self.rule.condition, -1, 0.0)
         return F.array(*out)
 
-    def necessary(self) -> Column | None:
-        """A cheap condition that all links meet: of a min (or a single comparison), each child without a Python measure."""
+    def necessary(self, m: float = 0.0) -> Column | None:
+        """A cheap condition that all links of at least confidence m meet: of a min (or a single comparison), each child without a Python measure.
+
+        Edit distances are only counted up to the radius, and only where the texts' lengths allow it."""
         root = self.rule.condition
         nodes = root.children if isinstance(root, Aggregate) and root.function == "min" else (root,) if isinstance(root, Compare) else ()
         cheap = [c for c in nodes if isinstance(c, Compare) and c.metric not in ("jaro", "jaroWinkler") and not _in_python(c)]
-        conds = [self.compare(c, 0.0) >= 0 for c in cheap]
-        return reduce(lambda a, b: a & b, conds) if conds and len(cheap) < len(nodes) else None
+        conds = [self._near(c, m) for c in cheap if c.metric == "levenshteinDistance" and self.rule.threshold_of(c) > 0]
+        if len(cheap) < len(nodes):
+            conds += [self.compare(c, 0.0) >= 0 for c in cheap]
+        return reduce(lambda a, b: a & b, conds) if conds else None
 
-    def keys(self) -> tuple[Column, Column] | None:
-        """Arrays of keys of a source and a target entity: all pairs of confidence 0 or more share one. None if there are none."""
-        root = self.rule.condition
+    def _near(self, c: Compare, m: float) -> Column:
+        """Whether a comparison's distance can give confidence m."""
+        a, b = (self._known(i, c.metric) or self.input(i) for i in (c.source, c.target))
+        threshold, metric = self.rule.threshold_of(c), lookup("metric", c.metric)(**c.params)
+        radius = threshold * (1.0 - m)
+        within = metric.distance(a, b, threshold, radius) <= radius + MARGIN
+        x, y = (self._known(i, f"{c.metric} sketch") for i in (c.source, c.target))
+        return within if x is None or y is None else metric.near(x.col, y.col, radius + MARGIN) & within
+
+    def sets(self, node: Operator | None, m: float) -> Compare | None:
+        """The comparison of sets that a part of the rule is, if it is one."""
+        return node if isinstance(node, Compare) and node.metric in ("jaccard", "dice") and self.rule.threshold_of(node) > 0 and not flipped(self.rule, self.rule.condition) else None
+
+    def rarest(self, c: Compare, m: float, frequent: list[str]) -> Keys | None:
+        """Keys of the rare elements of sets that are compared."""
+        metric, radius = lookup("metric", c.metric)(**c.params), self.rule.threshold_of(c) * (1.0 - m) + MARGIN
+        both = metric.rarest_keys(self.input(c.source), self.input(c.target), radius, frequent)
+        return None if both is None else Keys(metric.rank, *both, many=10)
+
+    def complete(self, side: int) -> Column:
+        """Whether an entity has values for all comparisons, as far as they are its own."""
+        variable = self.sides[side].variable
+        found = [self.input(i).present() for c in comparisons(self.rule.condition) for i in (c.source, c.target) if variables_of(i) == {variable}]
+        return reduce(lambda a, b: a & b, found, F.lit(True))
+
+    def used(self, side: int) -> list[str]:
+        """The paths of a side that pairs are compared by as they are; the others only go into columns of the side."""
+        found: list[str] = []
+        for c in comparisons(self.rule.condition):
+            for i in (c.source, c.target):
+                if isinstance(i, PathInput) or len(variables_of(i)) > 1:
+                    found += [p for p in paths_of(i) if variable_of(p) == self.sides[side].variable]
+        return list(dict.fromkeys(found))
+
+    def keys(self, m: float = 0.0) -> tuple[Column, Column] | None:
+        """Arrays of keys of a source and a target entity: all pairs of confidence m or more share one. None if there are none."""
+        found = self.keys_of(self.rule.condition, m)
+        return None if found is None else (found.source, found.target)
+
+    def keys_of(self, node: Operator | None, m: float = 0.0) -> Keys | None:
+        """Keys of a part of the rule, of which the confidence is to be m or more."""
         # a comparison may take its first input from the target; such rules are rare and get no keys
-        found = None if root is None or flipped(self.rule, root) else self._keys(root, 0.0, 0.0)
-        return None if found is None else found[1:]
+        return None if node is None or flipped(self.rule, self.rule.condition) else self._keys(node, m, 0.0)
+
+    def equal(self, node: Operator | None, m: float = 0.0) -> Keys | None:
+        """Of a min (or a single comparison), the values that must be equal, as keys; None if there are none."""
+        nodes = node.children if isinstance(node, Aggregate) and node.function == "min" else (node,) if isinstance(node, Compare) else ()
+        return next((k for c in nodes if isinstance(c, Compare) and c.metric == "equality" and (k := self.keys_of(c, m)) is not None), None)
 
-    def _keys(self, node: Operator, m: float, limit: float) -> tuple[int, Column, Column] | None:
+    def _keys(self, node: Operator, m: float, limit: float) -> Keys | None:
         if isinstance(node, Compare):
             if m <= -1:
                 return None
             threshold = self.rule.threshold_of(node)
             a, b = self.input(node.source), self.input(node.target)
             metric = lookup("metric", node.metric)(**node.params)
-            both = metric.key_arrays(a, b, threshold * (1.0 - m), threshold * (1.0 - limit)) if threshold > 0 else None
+            radius = threshold * (1.0 - m) + (MARGIN if m != 0 else 0.0)
+            both = metric.key_arrays(a, b, radius, threshold * (1.0 - limit)) if threshold > 0 else None
             if both is None:
                 return None
-            return (metric.rank, *both)
+            return Keys(metric.rank, *both, metric.meets_once and not a.many and not b.many, metric.keys_each(radius))
         agg = lookup("aggregator", node.function)(**node.params)
         total = sum(c.weight for c in node.children)
         limits = [agg.child_limit(limit, c.weight / total) for c in node.children]
@@ -177,17 +244,17 @@ class Compiler:
                 return None
             prefixed = lambda k, keys: F.transform(keys, lambda v: F.concat(F.lit(f"{k}|"), v))
             named = lambda side: F.flatten(F.array(*[prefixed(k, e[side]) for k, e in enumerate(each)]))
-            return (max(e[0] for e in each), named(1), named(2))
+            return Keys(max(e.rank for e in each), named(1), named(2), many=sum(e.many for e in each))
         bounds = agg.child_bounds(m, [c.weight for c in node.children])
         each = [e for c, b, x in zip(node.children, bounds, limits, strict=True) if b is not None and (e := self._keys(c, b, x)) is not None]
         if not each:
             return None
-        each.sort(key=lambda e: e[0])
-        if len(each) > 1 and agg.__class__.__name__ == "Minimum" and each[1][0] < 5:
+        each.sort(key=lambda e: e.rank)
+        if len(each) > 1 and agg.__class__.__name__ == "Minimum" and each[1].rank <= 5:
             # both must be met, so pairs of keys are keys, and far more selective
-            (r, a, b), (_, c, d) = each[:2]
+            one, two = each[:2]
             cross = lambda x, y: F.flatten(F.transform(x, lambda p: F.transform(y, lambda q: F.concat(p, F.lit("\x1f"), q))))
-            return (r, cross(a, c), cross(b, d))
+            return Keys(one.rank, cross(one.source, two.source), cross(one.target, two.target), one.once and two.once, one.many * two.many, one)
         return each[0]
 
 
@@ -206,5 +273,10 @@ def flipped(rule: LinkRule, node: Operator) -> bool:
     return not (variables_of(node.source) <= {rule.source.variable} and variables_of(node.target) <= {rule.target.variable})
 
 
+def comparisons(node: Operator | None) -> list[Compare]:
+    """All comparisons of a rule's tree."""
+    return [] if node is None else [node] if isinstance(node, Compare) else [c for x in node.children for c in comparisons(x)]
+
+
 def variables_of(node: Input) -> set[str]:
     return {variable_of(node.path)} if isinstance(node, PathInput) else set().union(*[variables_of(i) for i in node.inputs])
