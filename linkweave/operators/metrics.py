@@ -174,10 +174,14 @@ class Levenshtein(Metric):
 
     def sketch(self, s):
         """How often letters of 16 kinds occur, up to 4 times, each count as so many bits."""
-        letters = F.split(s, "")
-        kind = lambda c: F.least(F.size(F.filter(letters, lambda x: (F.length(x) > 0) & (F.ascii(x) % 16 == c))), F.lit(4))
-        bits = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda c: F.element_at(F.array(*[F.lit(2**n - 1).cast("long") for n in range(5)]), kind(c) + 1))
-        return F.when(s.isNotNull(), F.aggregate(bits, F.lit(0).cast("long"), lambda all, b: F.shiftleft(all, 4).bitwiseOR(b)))
+        move = lambda name, x, n: F.call_function(name, x, n)
+
+        def count(all, x):
+            at = F.ascii(x) % 16 * 4
+            one_more = (move("shiftright", all, at).bitwiseAND(F.lit(15)) * 2 + 1).bitwiseAND(F.lit(15)).cast("long")
+            return F.when(F.length(x) == 0, all).otherwise(all.bitwiseOR(move("shiftleft", one_more, at)))
+
+        return F.aggregate(F.split(s, ""), F.lit(0).cast("long"), count)
 
     def near(self, x, y, radius):
         # an edit takes one letter away, adds one, or does both

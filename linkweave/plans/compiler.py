@@ -46,6 +46,7 @@ class Compiler:
         self.rule, self.sides = rule, (source, target)
         self.ready: list[tuple[Input, str | None, Values]] = []
         self.columns: tuple[dict[str, Column], dict[str, Column]] = ({}, {})
+        self.sketched: set[str] = set()
         if rule.condition is not None:
             self._make_ready(rule.condition)
 
@@ -71,6 +72,7 @@ class Compiler:
                 self.ready.append((i, node.metric, self._column(side, made)))
             if not raw.many and self._known(i, f"{node.metric} sketch") is None and (sketch := metric.sketch(raw.col)) is not None:
                 self.ready.append((i, f"{node.metric} sketch", self._column(side, Values(sketch, False, True))))
+                self.sketched.add(list(self.columns[side])[-1])
 
     def _column(self, side: int, v: Values) -> Values:
         name = f"{'st'[side]}_i{len(self.columns[side])}"
@@ -199,6 +201,10 @@ class Compiler:
         found = [self.input(i).present() for c in comparisons(self.rule.condition) for i in (c.source, c.target) if variables_of(i) == {variable}]
         return reduce(lambda a, b: a & b, found, F.lit(True))
 
+    def sketches(self, side: int) -> dict[str, Column]:
+        """The sketches among a side's columns: what is left of them when equal values are put together is far less to make."""
+        return {n: c for n, c in self.columns[side].items() if n in self.sketched}
+
     def used(self, side: int) -> list[str]:
         """The paths of a side that pairs are compared by as they are; the others only go into columns of the side."""
         found: list[str] = []

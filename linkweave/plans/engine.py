@@ -113,10 +113,10 @@ class LinkJob:
     def _grouped(self, side: int) -> DataFrame:
         """The different values of a side, each with the uris of its entities, in order, CHUNK to a row: what is equal is compared once."""
         df, s = (self.source, self.target)[side], "st"[side]
-        values = [f"{s}_{c}" for c in dict.fromkeys(self.columns[side][p] for p in self.compiler.used(side))] + list(self.compiler.columns[side])
+        values = [f"{s}_{c}" for c in dict.fromkeys(self.columns[side][p] for p in self.compiler.used(side))] + [c for c in self.compiler.columns[side] if c not in self.compiler.sketches(side)]
         place = F.row_number().over(Window.partitionBy(*values).orderBy(f"{s}_uri"))
         rows = df.select(f"{s}_uri", *values).distinct().withColumn("__part", F.floor((place - 1) / CHUNK))
-        return rows.groupBy(*values, "__part").agg(F.sort_array(F.collect_list(f"{s}_uri")).alias(f"{s}_uris")).drop("__part")
+        return rows.groupBy(*values, "__part").agg(F.sort_array(F.collect_list(f"{s}_uri")).alias(f"{s}_uris")).drop("__part").withColumns(self.compiler.sketches(side))
 
     def _repeated(self) -> bool:
         """Whether an entity stands twice on a side, with other values."""
