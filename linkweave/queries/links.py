@@ -168,7 +168,7 @@ def filter_distinct(spark, d):
 
 
 def filter_threshold(spark, d):
-    return rounded(job(spark, d, FLAGSHIP, threshold=0.6).all_links(mode="filter"))
+    return job(spark, d, FLAGSHIP, threshold=0.6).all_links(mode="filter", digits=6)
 
 
 def output_window(spark, d):
