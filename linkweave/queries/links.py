@@ -81,7 +81,7 @@ def link_cross(spark, d):
 
 
 def link_blocked_equality(spark, d):
-    return rounded(job(spark, d, SAME_NATION).all_links())
+    return job(spark, d, SAME_NATION).all_links(digits=6)
 
 
 def link_blocked_levenshtein(spark, d):
