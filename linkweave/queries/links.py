@@ -69,7 +69,7 @@ def place_job(spark, d, condition, left="gazette_north", right="cityregister"):
 
 
 def link_flagship(spark, d):
-    return rounded(job(spark, d, FLAGSHIP, limit=1).links())
+    return job(spark, d, FLAGSHIP, limit=1).links(digits=6)
 
 
 def link_all(spark, d):
