@@ -73,7 +73,7 @@ def link_flagship(spark, d):
 
 
 def link_all(spark, d):
-    return rounded(job(spark, d, FLAGSHIP).all_links())
+    return job(spark, d, FLAGSHIP).all_links(digits=6)
 
 
 def link_cross(spark, d):
