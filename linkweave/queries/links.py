@@ -77,7 +77,7 @@ def link_all(spark, d):
 
 
 def link_cross(spark, d):
-    return rounded(job(spark, d, FLAGSHIP, blocking=False).all_links())
+    return job(spark, d, FLAGSHIP, blocking=False).all_links(digits=6)
 
 
 def link_blocked_equality(spark, d):
