@@ -132,7 +132,7 @@ def link_average(spark, d):
 
 
 def link_multi_rule_union(spark, d):
-    return rounded(en.merged(job(spark, d, FLAGSHIP).all_links(), job(spark, d, Compare("num", _path("a", "balance"), _path("b", "balance"), 3.0)).all_links()))
+    return en.union_job(*[job(spark, d, c) for c in (FLAGSHIP, Compare("num", _path("a", "balance"), _path("b", "balance"), 3.0))]).all_links(digits=6)
 
 
 def link_jaro_winkler(spark, d):
