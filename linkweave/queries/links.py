@@ -128,7 +128,7 @@ def link_max(spark, d):
 
 def link_average(spark, d):
     condition = Aggregate("average", (Compare("levenshteinDistance", _digits("a", "name"), _digits("b", "name"), 2.0, weight=3), Compare("equality", _path("a", "nation"), _path("b", "nation"), 0.5, weight=1)))
-    return rounded(job(spark, d, condition).all_links())
+    return job(spark, d, condition).all_links(digits=6)
 
 
 def link_multi_rule_union(spark, d):
