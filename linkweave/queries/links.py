@@ -85,7 +85,7 @@ def link_blocked_equality(spark, d):
 
 
 def link_blocked_levenshtein(spark, d):
-    return rounded(job(spark, d, Compare("levenshteinDistance", _digits("a", "name"), _digits("b", "name"), 2.0)).all_links())
+    return job(spark, d, Compare("levenshteinDistance", _digits("a", "name"), _digits("b", "name"), 2.0)).all_links(digits=6)
 
 
 def link_blocked_levenshtein_norm(spark, d):
