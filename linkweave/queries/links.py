@@ -7,10 +7,10 @@ import uuid
 from pyspark.sql import functions as F
 
 from linkweave import evaluation as ev
-from linkweave.cluster import shared_dir
+from linkweave.cluster import Scratch, shared_dir
 from linkweave.plans import engine as en
 from linkweave.plans import paths as pa
-from linkweave.plans.rules import Aggregate, Compare, Dataset, Filter, LinkRule, PathInput, TransformInput
+from linkweave.plans.rules import Aggregate, Compare, Dataset, Filter, LinkRule, PathInput, TransformInput, paths_of
 from linkweave.sources import sinks
 from linkweave.sources.readers import TRIPLE_SCHEMA
 
@@ -53,19 +53,24 @@ def rounded(links):
 
 
 def names(spark, d, side):
-    return en.table_entities(_t(spark, d, "part").select("p_name").distinct(), "p_name", {f"?{side}/name": "p_name"})
+    return en.table_entities(_t(spark, d, "part").select("p_name").distinct(), "p_name", {f"?{side}/name": "p_name"}, once=True)
 
 
-def places(spark, d, source, side):
-    """Places of one source: sets of labels, places on the map and codes. Any row of a uri says its source, in any case and padding."""
+PLACE_PATHS = {"label": "rdfs:label", "geo": "wgs:geometry", "code": "ogz:postcode"}
+
+
+def places(spark, d, source, side, names=tuple(PLACE_PATHS)):
+    """Places of one source: sets of labels, places on the map and codes, as far as named. Any row of a uri says its source, in any case and padding."""
     rows = _t(spark, d, "path_values").select("uri", F.lower(F.trim("source_id")).alias("source"), "prop_path", F.explode_outer("value_set").alias("v"))
     of = lambda p: F.collect_set(F.when(F.col("prop_path") == p, F.col("v")))
-    sets = rows.groupBy("uri").agg(F.max("source").alias("source"), of("rdfs:label").alias("label"), of("wgs:geometry").alias("geo"), of("ogz:postcode").alias("code")).where(F.col("source") == source)
-    return en.table_entities(sets, "uri", {f"?{side}/label": "label", f"?{side}/geo": "geo", f"?{side}/code": "code"})
+    sets = rows.groupBy("uri").agg(F.max("source").alias("source"), *[of(PLACE_PATHS[n]).alias(n) for n in names]).where(F.col("source") == source)
+    # read several times: for the keys and for the pairs
+    return en.table_entities(Scratch(spark, "places").cut(sets.drop("source")), "uri", {f"?{side}/{n}": n for n in names}, once=True)
 
 
 def place_job(spark, d, condition, left="gazette_north", right="cityregister"):
-    return en.LinkJob(rule(condition), places(spark, d, left, "a"), places(spark, d, right, "b"))
+    names = lambda side: [n for n in PLACE_PATHS if f"?{side}/{n}" in paths_of(condition)]
+    return en.LinkJob(rule(condition), places(spark, d, left, "a", names("a")), places(spark, d, right, "b", names("b")))
 
 
 def link_flagship(spark, d):
@@ -90,17 +95,17 @@ def link_blocked_levenshtein(spark, d):
 
 def link_blocked_levenshtein_norm(spark, d):
     condition = Compare("levenshtein", _path("a", "name"), _path("b", "name"), 0.4)
-    return rounded(en.LinkJob(rule(condition), names(spark, d, "a"), names(spark, d, "b")).all_links())
+    return en.LinkJob(rule(condition), names(spark, d, "a"), names(spark, d, "b")).all_links(digits=6)
 
 
 def link_blocked_num(spark, d):
-    return rounded(job(spark, d, Compare("num", _path("a", "balance"), _path("b", "balance"), 5.0)).all_links())
+    return job(spark, d, Compare("num", _path("a", "balance"), _path("b", "balance"), 5.0)).all_links(digits=6)
 
 
 def link_blocked_date(spark, d):
-    day = lambda t, c, side: en.table_entities(_t(spark, d, t).select(F.date_format(c, "yyyy-MM-dd").alias("day")).distinct(), "day", {f"?{side}/day": "day"})
+    day = lambda t, c, side: en.table_entities(_t(spark, d, t).select(F.date_format(c, "yyyy-MM-dd").alias("day")).distinct(), "day", {f"?{side}/day": "day"}, once=True)
     condition = Compare("date", _path("a", "day"), _path("b", "day"), 2.0, params={"maxDays": "2"})
-    return rounded(en.LinkJob(rule(condition), day("orders", "o_orderdate", "a"), day("lineitem", "l_shipdate", "b")).all_links())
+    return en.LinkJob(rule(condition), day("orders", "o_orderdate", "a"), day("lineitem", "l_shipdate", "b")).all_links(digits=6)
 
 
 def link_blocked_wgs84(spark, d):
@@ -113,7 +118,7 @@ def _label_words(side):
 
 
 def link_blocked_jaccard(spark, d):
-    return rounded(place_job(spark, d, Compare("jaccard", _label_words("a"), _label_words("b"), 0.5)).all_links())
+    return place_job(spark, d, Compare("jaccard", _label_words("a"), _label_words("b"), 0.5)).all_links(digits=6)
 
 
 def link_self_dedup(spark, d):
@@ -123,7 +128,7 @@ def link_self_dedup(spark, d):
 
 def link_max(spark, d):
     condition = Aggregate("max", (Compare("equality", _digits("a", "name"), _digits("b", "name"), 0.5), Compare("num", _path("a", "balance"), _path("b", "balance"), 3.0)))
-    return rounded(job(spark, d, condition).all_links())
+    return job(spark, d, condition).all_links(digits=6)
 
 
 def link_average(spark, d):
@@ -138,7 +143,7 @@ def link_multi_rule_union(spark, d):
 def link_jaro_winkler(spark, d):
     low = lambda side: TransformInput("lowerCase", (_path(side, "label"),))
     condition = Aggregate("min", (Compare("equality", _digits("a", "code"), _digits("b", "code"), 0.5, required=True), Compare("jaroWinkler", low("a"), low("b"), 0.1)))
-    return rounded(place_job(spark, d, condition).all_links())
+    return place_job(spark, d, condition).all_links(digits=6)
 
 
 def link_reference_pairs(spark, d):
