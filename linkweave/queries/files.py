@@ -75,8 +75,7 @@ def src_cache(spark, d):
         path = _folder(spark, "cache")
         readers.write_cache(side, path)
         sides.append(lookup("source", "cache")(dir=path)(spark))
-    links = en.LinkJob(job_.rule, *sides).all_links()
-    return links.select("source_uri", "target_uri", F.round("confidence", 6).alias("confidence"))
+    return en.LinkJob(job_.rule, *sides).all_links(digits=6)
 
 
 def dedup_by_uri(spark, d):
